@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, rlz, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_substring_rlz": rlz.op5_substring_rlz,
     "op8_simhash_golay": simhash.op8_simhash_golay,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substring_rlz": rlz.OP5_SQL,
+}
