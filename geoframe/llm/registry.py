@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, rlz, simhash
+from . import bpe, lines, quality, rlz, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_neighbours": quality.op1_quality_neighbours,
     "op5_substring_rlz": rlz.op5_substring_rlz,
+    "op7_line_neighbourhood": lines.op7_line_neighbourhood,
     "op8_simhash_golay": simhash.op8_simhash_golay,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_secret_ownership": secrets.op10_secret_ownership,
 }
 
 ORACLES: dict[str, str] = {
     "op5_substring_rlz": rlz.OP5_SQL,
+    "op7_line_neighbourhood": lines.OP7_SQL,
+    "op10_secret_ownership": secrets.OP10_SQL,
 }
