@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lines, quality, rlz, secrets, simhash
+from . import ann, bpe, decontaminate, lines, quality, rlz, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_neighbours": quality.op1_quality_neighbours,
+    "op2_template_decontamination": decontaminate.op2_template_decontamination,
     "op4_nn_descent": ann.op4_nn_descent,
     "op5_substring_rlz": rlz.op5_substring_rlz,
     "op7_line_neighbourhood": lines.op7_line_neighbourhood,
