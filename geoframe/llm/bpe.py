@@ -20,8 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import load, pick, ship
 
@@ -410,20 +412,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pick(load(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), default_ranks())
 
 
-def tokens_stage(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """documents with n_tokens and ids_sha256 added under names that replace columns of the same name."""
-    ship(spark)
-    names = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+def with_tokens(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with n_tokens, ids_sha256 and decoded_sha256 (in place of columns of those names)."""
+    ship(docs.sparkSession)
+    new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in c.encode([t or "" for t in b["text"]]):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(c.decimal(ids)).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield b.assign(n_tokens=n, ids_sha256=ids_sha, decoded_sha256=text_sha)
-
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInPandas(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            rows = [(len(ids), hashlib.sha256(c.decimal(ids)).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()) for ids in c.encode([t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])]
+            n, one, two = map(list, zip(*rows)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[*b.schema.names, *new])
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)

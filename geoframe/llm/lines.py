@@ -140,6 +140,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", _kept(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
 
 
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of docs (a file scan), all columns, without the lines that dedup_lines() takes; chars_col, if there, is the new length."""
+    gone = cut(repeated_lines(with_rows(docs, doc_id=id_col, text=text_col), min_chars), "gone-lines")
+    gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone"))
+    at = docs.metadataColumn("_metadata")
+    out = docs.join(gone, (F.xxhash64(at["file_path"]) == gone["_line_fid"]) & (at["row_index"] == gone["_line_rix"]), "left")
+    text = _kept(docs[f"`{text_col}`"], gone["_line_gone"])
+    new = {text_col: text, chars_col: F.when(gone["_line_gone"].isNull(), docs[f"`{chars_col}`"]).otherwise(F.length(text).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
+
+
 def op7_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines removed from every document."""
     out = dedup_lines(load(spark, sf_dir, "documents"))
