@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import load, pick, ship
+from .common import load, pick, ship, with_text_ids
 
 #: Code points with the White_Space property (fixed values of Unicode).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -365,10 +365,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         c = coder(path)
         for b in batches:
             ids = list(c.encode([t or "" for t in b["text"]]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "offsets": [c.offsets(x) for x in ids]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": pd.Series(ids, dtype="object"), "offsets": pd.Series([c.offsets(x) for x in ids], dtype="object")})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(run, f"doc_id {id_type}, ids array<int>, offsets array<bigint>")
+    return with_text_ids(pick(docs, doc_id=id_col, text=text_col), lambda d: d.mapInPandas(run, "doc_id string, ids array<int>, offsets array<bigint>"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -380,7 +379,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "bytes": [None if x is None else c.decode(np.asarray(x, np.int64)) for x in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return with_text_ids(encoded.select("doc_id", "ids"), lambda d: d.mapInPandas(run, "doc_id string, bytes binary"))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -409,7 +408,7 @@ def default_ranks() -> str:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents encoded and decoded."""
-    return digest(pick(load(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), default_ranks())
+    return with_text_ids(pick(load(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), lambda d: digest(d, default_ranks()))
 
 
 def with_tokens(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,12 @@ def with_rows(df: DataFrame, **names: str) -> DataFrame:
         return take(cut(df, "rows"))
 
 
+def with_text_ids(df: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f(df), with doc_id as text meanwhile: pandas makes a long column with nulls one of doubles."""
+    kind = df.schema["doc_id"].dataType
+    return f(df.withColumn("doc_id", F.col("doc_id").cast("string"))).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in names.items()])

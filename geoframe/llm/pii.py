@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, ship, with_rows
+from .common import ROW, cut, load, ship, with_rows, with_text_ids
 
 KEY = b"geoframe-surrogates"
 #: Values with a second try that may be broadcast; more are joined to their documents.
@@ -250,7 +250,6 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, id_col: str = "doc_id", t
     ship(spark)
     rows = with_rows(docs, doc_id=id_col, text=text_col)
     again = cut(second_tries(cut(entities(rows), "entities"), key), "tries")
-    kind = docs.schema[id_col].dataType.simpleString()
     few = again.count() <= broadcast_values
     shared = spark.sparkContext.broadcast({(r["kind"], r["norm"]): r["attempt"] for r in again.collect()} if few else {})
 
@@ -278,7 +277,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, id_col: str = "doc_id", t
         own = rows.mapInPandas(mentions, "fid long, rix long, kind string, norm string").join(again, ["kind", "norm"]).groupBy(*ROW).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("x"))
         own = own.select(*ROW, F.col("x.kind").alias("kinds"), F.col("x.norm").alias("norms"), F.col("x.attempt").alias("attempts"))
         rows = rows.join(own, ROW, "left")
-    return rows.mapInPandas(run, f"doc_id {kind}, text string, n_entities long, spans string")
+    return with_text_ids(rows, lambda d: d.mapInPandas(run, "doc_id string, text string, n_entities long, spans string"))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, pick, ship
+from .common import load, pick, ship, with_text_ids
 
 RAW_TERMS, SHAPE_TERMS = 2048, 1024
 TERMS = RAW_TERMS + SHAPE_TERMS
@@ -174,7 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     ship(docs.sparkSession)
     d = pick(docs, doc_id=id_col, text=text_col)
-    out = score(d, train(d, labels, per_label=per_label))
+    model = train(d, labels, per_label=per_label)
+    out = with_text_ids(d, lambda x: score(x, model))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, ship, with_rows
+from .common import ROW, cut, load, ship, with_rows, with_text_ids
 from .numeric import IN_SEQUENCE, SECOND, Prefix, chunks, sliding_min, words
 
 WINDOW, GRAM = 35, 5
@@ -174,8 +174,8 @@ def _finish(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bo
             total, gone, last = map(list, zip(*out)) if out else ([], [], [])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": total, "n_removed": gone, "kept_sha256" if digest else "text": last})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _with_runs(docs, id_col, text_col, window).mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string")
+    schema = f"doc_id string, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string"
+    return with_text_ids(_with_runs(docs, id_col, text_col, window), lambda d: d.mapInPandas(run, schema))
 
 
 def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:

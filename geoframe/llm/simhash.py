@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, pick, ship, with_rows
+from .common import cut, load, pick, ship, with_rows, with_text_ids
 from .graph import components
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one shingle; repeated rows and ids are kept; an empty table gives an empty one; other columns aren't read.
     The texts are read once and never shuffled; equal fingerprints are one node, so copies cost nothing.
     """
-    prints = cut(fingerprints(pick(docs, doc_id=id_col, text=text_col)), "prints")
+    prints = cut(with_text_ids(pick(docs, doc_id=id_col, text=text_col), fingerprints), "prints")
     return grouped(prints).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -176,7 +176,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows with that doc_id the first in file order of the first file stays; null ids come last.
     """
-    prints = cut(fingerprints(with_rows(docs, doc_id=id_col, text=text_col)), "prints")
+    prints = cut(with_text_ids(with_rows(docs, doc_id=id_col, text=text_col), fingerprints), "prints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "fingerprints")
     root = components(links(fps), "a", "b").withColumnRenamed("node", "fp")
     in_group = prints.join(root, "fp", "left").select("fid", "rix", "doc_id", F.coalesce("root", "fp").alias("group"))
