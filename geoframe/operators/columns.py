@@ -86,8 +86,10 @@ def add_kdtree(df: DataFrame, name: str = "kdtree_cell", *, iterations: int | No
     hashed = [f"k{i}" for i in range(len(key))] if key else ["x", "y"]
     sample = points.orderBy(F.xxhash64(*hashed), "x", "y").limit(sample_size).select("x", "y").toPandas().to_numpy(np.float64)
     splits = F.array(*[F.lit(v).cast("double") for v in kdtree_splits(sample, levels)[1:]])
-    cell = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), lambda i, level: i * 2 + F.when(F.when(level % 2 == 0, x).otherwise(y) >= F.element_at(splits, i), 1).otherwise(0))
-    return df.withColumn(name, F.concat(F.lit("0"), F.substring(F.bin(cell.cast("long")), 2, levels)))
+    # the coordinates become columns first: a geometry function can't stand within a lambda
+    at = lambda level: F.when(level % 2 == 0, F.col("_cell_x")).otherwise(F.col("_cell_y"))
+    cell = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), lambda i, level: i * 2 + F.when(at(level) >= F.element_at(splits, i), 1).otherwise(0))
+    return df.withColumns({"_cell_x": x, "_cell_y": y}).withColumn(name, F.concat(F.lit("0"), F.substring(F.bin(cell.cast("long")), 2, levels))).drop("_cell_x", "_cell_y")
 
 
 def reproject(df: DataFrame, target_crs: str = "EPSG:4326", source_crs: str = "EPSG:4326") -> DataFrame:
