@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import aggregate, columns, extract, join, sort
 from .plans import checks, metadata
-from .sources import readers, sinks
+from .sources import readers, shapefile, sinks
 
 
 @dataclass(frozen=True)
@@ -84,10 +84,23 @@ class GeoFrame:
     def partition_by_kdtree(self, path: str, *, iterations: int = 9, hive: bool = True, **options) -> int:
         return sinks.partition_by(self.add_kdtree(iterations=iterations).df, path, "kdtree_cell", hive=hive, **options)
 
+    def partition_by_admin(self, path: str, boundaries: DataFrame, *, dataset: str = "gaul", levels: list[str] | None = None, hive: bool = True, **options) -> int:
+        """Nested folders by the boundaries that a feature touches; only its own columns are written."""
+        levels = levels or list(join.ADMIN[dataset])
+        joined = join.spatial_left_join(self.add_bbox().df, boundaries, {f"_level_{x}": join.ADMIN[dataset][x] for x in levels})
+        return sinks.partition_by_levels(joined, path, {x: f"_level_{x}" for x in levels}, keep=self.df.columns, hive=hive, **options)
+
+    def to_geojson(self, path: str | None = None, **options) -> DataFrame | None:
+        """Features as text, or written to path."""
+        if path is None:
+            return sinks.geojson_features(self.df, **options)
+        sinks.write_geojson(self.df, path, **options)
+        return None
+
     def write(self, path: str, format: str | None = None, **options) -> None:
         """By format, else by extension; Parquet where neither tells."""
-        kind = format or {".csv": "csv", ".geojson": "geojson", ".json": "geojson", ".gpkg": "geopackage"}.get(path[path.rfind(".") :].lower() if "." in path else "", "parquet")
-        {"csv": sinks.write_csv, "geojson": sinks.write_geojson, "geopackage": sinks.write_geopackage, "parquet": sinks.write_geoparquet}[kind](self.df, path, **options)
+        kind = format or {".csv": "csv", ".geojson": "geojson", ".json": "geojson", ".gpkg": "geopackage", ".shp": "shapefile"}.get(path[path.rfind(".") :].lower() if "." in path else "", "parquet")
+        {"csv": sinks.write_csv, "geojson": sinks.write_geojson, "geopackage": sinks.write_geopackage, "shapefile": shapefile.write_shapefile, "parquet": sinks.write_geoparquet}[kind](self.df, path, **options)
 
     def to_arrow(self):
         return self.df.toArrow()

@@ -110,6 +110,10 @@ def convert(spark: SparkSession, path: str, **options) -> DataFrame:
         return read_geojson(spark, path)
     if kind == ".gpkg":
         return read_geopackage(spark, path, **options)
+    if kind == ".shp":
+        from .shapefile import read_shapefile
+
+        return read_shapefile(spark, path, **options)
     if kind in (".parquet", ".geoparquet", ""):
         return read_parquet(spark, path, **options)
     raise ValueError(f"no reader for {kind}")

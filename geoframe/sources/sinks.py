@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -20,7 +20,8 @@ from ..operators.aggregate import analyze_partitions, partition_key
 from ..operators.extract import bbox_column, geometry_column
 from ..plans import metadata
 
-GEOJSON_NAMES = {v: wkb.GEOJSON[k] for k, v in wkb.NAMES.items()}
+#: Between the values of a nested key; no value of an admin level holds it.
+BETWEEN = "\x1f"
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -80,7 +81,8 @@ class _OpenFile:
         self.fs, self.name, self.o = fs, name, options
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         codec, level = options["codec"], options.get("level")
-        self.writer = pq.ParquetWriter(fs.open_output_stream(name), schema, compression=codec, compression_level=int(level) if level else None)
+        self.stream = fs.open_output_stream(name)
+        self.writer = pq.ParquetWriter(self.stream, schema, compression=codec, compression_level=int(level) if level else None)
         self.box, self.kinds = None, set()
 
     def add(self, table: pa.Table) -> None:
@@ -103,14 +105,19 @@ class _OpenFile:
         meta = metadata.build(o["geometry"], version=o["version"], bbox=self.box, geometry_types=sorted(self.kinds), crs=json.loads(o["crs"]) if o.get("crs") else None, bbox_column=o.get("bbox"), original=json.loads(o["original"]) if o.get("original") else None)
         self.writer.add_key_value_metadata({"geo": json.dumps(meta)})
         self.writer.close()
+        self.stream.close()
         return self.name
 
 
 def _file_name(o: dict, value, i: int) -> str:
     if not o.get("key"):
         return "part.parquet"
-    name = sanitize(str(value))
     prefix = f"{o['prefix']}_" if o.get("prefix") else ""
+    if o.get("labels"):  # nested folders, the last value names the file
+        values = str(value).split(BETWEEN)
+        folders = [f"{label}={v}" if o["hive"] == "true" else sanitize(v) for label, v in zip(o["labels"].split(BETWEEN), values)]
+        return f"{'/'.join(folders)}/{prefix}{sanitize(values[-1])}.parquet"
+    name = sanitize(str(value))
     return f"{o['label']}={value}/{prefix}{name}.parquet" if o["hive"] == "true" else f"{prefix}{name}.parquet"
 
 
@@ -187,6 +194,22 @@ def partition_by(df: DataFrame, path: str, column: str, *, prefix: int | None =
     return len(values)
 
 
+def partition_by_levels(df: DataFrame, path: str, levels: dict[str, str], *, keep: list[str], hive: bool = True, overwrite: bool = False, filename_prefix: str | None = None, version: str | None = None) -> int:
+    """Nested folders, one for each level (label: column), with the columns `keep`; the number of files is returned.
+
+    Rows without a value of every level are left out; none with one is an error.
+    """
+    values = [F.col(f"`{c}`").cast("string") for c in levels.values()]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.when(F.size(F.array_compact(F.array(*values))) == len(values), F.concat_ws(BETWEEN, *values)).alias("_key")).where("_key is not null")
+    found = [r[0] for r in rows.select("_key").distinct().limit(10_001).collect()]
+    if not found:
+        raise ValueError("no row has all levels")
+    _ready(path, overwrite)
+    dealt = rows.repartition("_key").sortWithinPartitions("_key")
+    _write(dealt, path, geometry_column(df), version, "ZSTD", None, 100_000, None, None, key="_key", labels=BETWEEN.join(levels), hive=str(hive).lower(), keep="false", prefix=filename_prefix)
+    return len(found)
+
+
 def csv_frame(df: DataFrame, *, include_wkt: bool = True, include_bbox: bool = True) -> DataFrame:
     """Geometry as text in `wkt`, structs, lists and maps as JSON."""
     geom, box = geometry_column(df), bbox_column(df)
@@ -270,7 +293,3 @@ def write_geopackage(df: DataFrame, path: str, *, layer: str = "features", srs_i
         db.execute(sql, [head + bytes(r[0]) if r[0] is not None else None, *[bytes(v) if isinstance(v, bytearray) else v for v in r[1:]]])
     db.commit()
     db.close()
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -173,6 +173,34 @@ def test_geojson_and_geopackage(spark, tmp_path, places):
     assert sorted(tuple(r) for r in again.select("id", "kind", udf.as_text(F.col("geometry"))).where("id < 20").collect()) == sorted(tuple(r) for r in places.select("id", "kind", udf.as_text(F.col("geometry"))).where("id < 20").collect())
 
 
+def test_shapefile(spark, tmp_path, places):
+    from geoframe.sources import shapefile
+
+    texts = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", None]
+    df = spark.createDataFrame([(i, f"né{i}", i / 3, i % 2 == 0, t) for i, t in enumerate(texts)], "id long, name string, share double, even boolean, t string").withColumn("geometry", udf.from_text(F.col("t"))).drop("t").orderBy("id")
+    path = str(tmp_path / "a.shp")
+    shapefile.write_shapefile(df, path, zipped=True)
+    back = readers.convert(spark, path).orderBy("id").collect()
+    assert [tuple(r)[:2] + (r["even"],) for r in back] == [(0, "né0", True), (1, "né1", False), (2, "né2", True)] and back[2]["geometry"] is None
+    from geoframe.functions import wkb
+
+    for r, t in zip(back[:2], texts):
+        a, b = wkb.parse(bytes(r["geometry"])), wkb.from_wkt(t)
+        assert a.kind == b.kind and wkb.envelope(a) == wkb.envelope(b) and wkb.centroid(a) == pytest.approx(wkb.centroid(b)) and len(a.coords()) == len(b.coords())
+    for text in ("LINESTRING (0 0, 1 1)", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", "MULTIPOINT ((1 1), (2 3))", "POINT (1 2)"):
+        assert wkb.to_wkt(shapefile.decode(shapefile.encode(wkb.from_wkt(text)))) == text
+    with pytest.raises(ValueError, match="mixture"):
+        shapefile.write_shapefile(df.select("geometry").union(places.select("geometry")), str(tmp_path / "b.shp"))
+
+
+def test_admin_folders(spark, places, tmp_path):
+    boxes = spark.createDataFrame([("E", "x", -180.0, 0.0), ("E", "y", 0.0, 180.0), ("W", None, 0.0, 180.0)], "continent string, gaul0_name string, a double, b double")
+    boxes = boxes.select("continent", "gaul0_name", F.lit("d").alias("gaul2_name"), expr.bbox_struct(F.col("a"), F.lit(-90.0), F.col("b"), F.lit(90.0)).alias("bbox"))
+    n = GeoFrame(places).partition_by_admin(str(tmp_path / "t"), boxes, levels=["continent", "country"])
+    assert n == 2 and sorted(os.listdir(tmp_path / "t/continent=E")) == ["country=x", "country=y"] and os.listdir(tmp_path / "t/continent=E/country=x") == ["x.parquet"]
+    assert "_level_country" not in metadata.file_info(str(tmp_path / "t/continent=E/country=x/x.parquet"))["columns"]
+
+
 def test_frame_and_pipe(places, tmp_path):
     chain = pipe(lambda f: f.extract(bbox=(-90, -45, 90, 45)), lambda f: f.add_bbox(), lambda f: f.add_quadkey(resolution=6), lambda f: f.sort_hilbert())
     out = chain(GeoFrame(places))
