@@ -52,39 +52,35 @@ def quadkey(lon: Column, lat: Column, zoom: int) -> Column:
     return F.lpad(digits, zoom, "0") if zoom else F.when(x.isNotNull() & y.isNotNull(), F.lit(""))
 
 
-def _hilbert_tables() -> tuple[list[int], list[int]]:
-    """(digit, next state) by 4 * state + 2 * xbit + ybit. A state is (swapped, mirrored)."""
-    digit, after = [], []
+def _hilbert_tables() -> tuple[int, int]:
+    """Digits and next states, two bits each, by 4 * state + 2 * xbit + ybit. A state is (swapped, mirrored)."""
+    digits = after = place = 0
     for swap in (0, 1):
         for mirror in (0, 1):
             for bx in (0, 1):
                 for by in (0, 1):
-                    x, y = (bx ^ mirror, by ^ mirror)
+                    x, y = bx ^ mirror, by ^ mirror
                     x, y = (y, x) if swap else (x, y)
-                    digit.append((3 * x) ^ y)
-                    turned = y == 0
-                    after.append(2 * (swap ^ turned) + (mirror ^ (turned and x == 1)))
-    return digit, after
+                    digits |= ((3 * x) ^ y) << place
+                    after |= (2 * (swap ^ (y == 0)) + (mirror ^ (y == 0 and x == 1))) << place
+                    place += 2
+    return digits, after
 
 
-def hilbert(x: Column, y: Column, bounds: tuple[float, float, float, float], bits: int = HILBERT_BITS) -> Column:
-    """Index of a point on the Hilbert curve over bounds, 2 * bits bits; null for null coordinates.
-
-    One chain of table look-ups, a level each, so that the expression stays small and is code-generated.
-    """
-    xmin, ymin, xmax, ymax = bounds
+def grid(v: Column, lo: float, hi: float, bits: int = HILBERT_BITS) -> Column:
+    """Cell of v among 2**bits between lo and hi; beyond them the outermost ones; null for null."""
     top = (1 << bits) - 1
+    if not hi > lo:
+        return F.when(v.isNotNull(), F.lit(0).cast("long"))
+    return F.least(F.greatest(F.floor((v - lo) / (hi - lo) * top), F.lit(0)), F.lit(top)).cast("long")
+
 
-    def grid(v: Column, lo: float, hi: float) -> Column:
-        if not hi > lo:
-            return F.when(v.isNotNull(), F.lit(0).cast("long"))
-        return F.least(F.greatest(F.floor((v - lo) / (hi - lo) * top), F.lit(0)), F.lit(top)).cast("long")
-
-    gx, gy = grid(x, xmin, xmax), grid(y, ymin, ymax)
-    digit, after = (F.array(*[F.lit(v) for v in t]) for t in _hilbert_tables())
-    state, index = F.lit(0), F.lit(0).cast("long")
-    for i in range(bits - 1, -1, -1):
-        quad = (state * 4 + (F.shiftright(gx, i).bitwiseAND(1) * 2 + F.shiftright(gy, i).bitwiseAND(1)).cast("int")) + 1
-        index = index + F.shiftleft(F.element_at(digit, quad).cast("long"), 2 * i)
-        state = F.element_at(after, quad)
-    return index
+def hilbert_step(carry: str, x: str, y: str, bit: int) -> Column:
+    """One level down the Hilbert curve. carry holds the index so far and, in its lowest two bits, the state.
+
+    A level is a shift of a packed table by the state and a bit of each coordinate: arithmetic only. The arguments
+    are names of columns. As SQL text, since a level by calls takes several times as long to build.
+    """
+    digits, after = _hilbert_tables()
+    at = f"cast((`{carry}` & 3) * 8 + (shiftright(`{x}`, {bit}) & 1) * 4 + (shiftright(`{y}`, {bit}) & 1) * 2 as int)"
+    return F.expr(f"shiftleft(`{carry}` - (`{carry}` & 3) + (shiftright({digits}L, {at}) & 3), 2) + (shiftright({after}L, {at}) & 3)")

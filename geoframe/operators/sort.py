@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -18,17 +18,31 @@ def sort_column(df: DataFrame, columns: str | list[str], descending: bool = Fals
     return df.orderBy(*[F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c in names])
 
 
-def hilbert_index(df: DataFrame) -> Column:
+def curve_index(df: DataFrame, x: str, y: str, name: str, bits: int = expr.HILBERT_BITS) -> DataFrame:
+    """Index on the Hilbert curve of the cells in columns x and y, 2 * bits bits; null for null.
+
+    A projection a level: Spark keeps them apart, since each uses the one before several times, and fuses them in
+    one generated function, while one expression for all levels would take seconds to plan.
+    """
+    out = df.withColumn(name, F.lit(0).cast("long"))
+    for bit in range(bits - 1, -1, -1):
+        out = out.withColumn(name, expr.hilbert_step(name, x, y, bit))
+    return out.withColumn(name, F.shiftright(name, 2))
+
+
+def add_hilbert(df: DataFrame, name: str = "hilbert") -> DataFrame:
     """Curve index of each row within the bounds of the table; a table without coordinates is an error."""
     b = bounds(df).first()
     if b is None or b["xmin"] is None:
         raise ValueError("no coordinates: the table is empty or all are null")
-    return expr.hilbert(*center(df), (b["xmin"], b["ymin"], b["xmax"], b["ymax"]))
+    x, y = center(df)
+    cells = df.withColumns({"_cell_x": expr.grid(x, b["xmin"], b["xmax"]), "_cell_y": expr.grid(y, b["ymin"], b["ymax"])})
+    return curve_index(cells, "_cell_x", "_cell_y", name).drop("_cell_x", "_cell_y")
 
 
 def sort_hilbert(df: DataFrame) -> DataFrame:
     """Rows along the curve: a range partitioning by index, sorted within; no row goes to a single task."""
-    return df.withColumn("_curve", hilbert_index(df)).orderBy(F.asc_nulls_last("_curve")).drop("_curve")
+    return add_hilbert(df, "_curve").orderBy(F.asc_nulls_last("_curve")).drop("_curve")
 
 
 def sort_quadkey(df: DataFrame, name: str = "quadkey", *, resolution: int = 13, use_centroid: bool = False, remove_column: bool = False) -> DataFrame:

@@ -166,13 +166,13 @@ r{i + 1} AS (SELECT c_custkey, CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN {2 * s -
 @query(_hilbert_sql())
 def hilbert_index(spark, sf):
     p = points(spark, sf)
-    return p.select("c_custkey", sort.hilbert_index(p).alias("hilbert"))
+    return sort.add_hilbert(p).select("c_custkey", "hilbert")
 
 
 @query(f"SELECT c_custkey FROM ({_hilbert_sql()}) ORDER BY hilbert, c_custkey LIMIT 50")
 def sort_hilbert_first(spark, sf):
     p = points(spark, sf)
-    return p.select("c_custkey", sort.hilbert_index(p).alias("h")).orderBy("h", "c_custkey").limit(50).select("c_custkey")
+    return sort.add_hilbert(p).orderBy("hilbert", "c_custkey").limit(50).select("c_custkey")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal DESC NULLS LAST, c_custkey DESC) AS place FROM customer ORDER BY place LIMIT 100")

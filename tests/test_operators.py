@@ -29,8 +29,8 @@ def test_quadkey_known_tiles(spark):
 
 def test_hilbert_visits_neighbours(spark):
     n = 16
-    df = spark.range(n * n).select((F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"))
-    got = df.select("x", "y", expr.hilbert(F.col("x"), F.col("y"), (0, 0, n - 1, n - 1), 4).alias("h")).orderBy("h").collect()
+    df = spark.range(n * n).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"))
+    got = sort.curve_index(df, "x", "y", "h", 4).orderBy("h").collect()
     assert [r["h"] for r in got] == list(range(n * n))
     assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in zip(got, got[1:]))
 
