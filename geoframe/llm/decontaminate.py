@@ -126,7 +126,8 @@ def windows(rows: DataFrame, keep: list[str], only=None) -> DataFrame:
                     good = good & (known[np.minimum(at, len(known) - 1)] == t.window) if len(known) else np.zeros_like(good)
                 i = np.flatnonzero(good)
                 out = b[keep].iloc[lo:hi].iloc[t.owner[i]].reset_index(drop=True)
-                yield out.assign(window=t.window[i], pos=t.pos[i], words=t.size[t.owner[i]], slots=[t.slots(j) for j in i.tolist()])
+                slots = pd.Series([t.slots(j) for j in i.tolist()], dtype="object")  # of no rows, too
+                yield out.assign(window=t.window[i], pos=t.pos[i], words=t.size[t.owner[i]], slots=slots)
 
     return rows.mapInPandas(run, f"{fields}, window long, pos int, words int, slots array<string>")
 
