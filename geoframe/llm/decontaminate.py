@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, pick, ship, with_rows
+from .common import ROW, cut, load, pick, ship, with_rows, with_text_ids
 from .numeric import IN_SEQUENCE, Prefix, chunks
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
@@ -149,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     if hashes.count() <= BROADCAST_WINDOWS:
         only = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.collect()], np.int64)))
     rows = with_rows(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
-    found = windows(rows, [*ROW, "doc_id"], only)
+    found = with_text_ids(rows, lambda d: windows(d, [*ROW, "doc_id"], only))
     met = found.join(items, "window")
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     # one alignment: the window's place in the document less its place in the item
