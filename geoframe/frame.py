@@ -100,7 +100,7 @@ class GeoFrame:
     def write(self, path: str, format: str | None = None, **options) -> None:
         """By format, else by extension; Parquet where neither tells."""
         kind = format or {".csv": "csv", ".geojson": "geojson", ".json": "geojson", ".gpkg": "geopackage", ".shp": "shapefile"}.get(path[path.rfind(".") :].lower() if "." in path else "", "parquet")
-        {"csv": sinks.write_csv, "geojson": sinks.write_geojson, "geopackage": sinks.write_geopackage, "shapefile": shapefile.write_shapefile, "parquet": sinks.write_geoparquet}[kind](self.df, path, **options)
+        {"csv": sinks.write_csv, "geojson": sinks.write_geojson, "geopackage": sinks.write_geopackage, "shapefile": shapefile.write_shapefile, "parquet": sinks.write_parquet}[kind](self.df, path, **options)
 
     def to_arrow(self):
         return self.df.toArrow()

@@ -23,5 +23,5 @@ def apply_fixes(df: DataFrame, path: str, results: list[checks.CheckResult], *,
     failed = {r.name for r in results if not r.passed}
     v2 = original is not None and metadata.version_for(original) == "2.0"
     out = fixed(df, bbox="envelope" in failed and not v2, order="spatial order" in failed, drop_bbox="envelope" in failed and v2)
-    sinks.write_geoparquet(out, path, version="1.1", overwrite=overwrite, original=original)
+    sinks.write_parquet(out, path, version="1.1", overwrite=overwrite, original=original)
     return sorted(failed)

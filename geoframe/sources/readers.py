@@ -114,7 +114,7 @@ def convert(spark: SparkSession, path: str, **options) -> DataFrame:
         from .shapefile import read_shapefile
 
         return read_shapefile(spark, path, **options)
-    if kind in (".parquet", ".geoparquet", ""):
+    if kind in (".parquet", ""):
         return read_parquet(spark, path, **options)
     raise ValueError(f"no reader for {kind}")
 

@@ -33,7 +33,7 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class _GeoParquetWriter(DataSourceArrowWriter):
+class _ParquetWriter(DataSourceArrowWriter):
     """Each task writes its own files under a temporary name, with the bounds and types of what they hold; the
     commit gives them their names, so that a task that runs again, or a lost executor, leaves nothing behind."""
 
@@ -121,19 +121,19 @@ def _file_name(o: dict, value, i: int) -> str:
     return f"{o['label']}={value}/{prefix}{name}.parquet" if o["hive"] == "true" else f"{prefix}{name}.parquet"
 
 
-class GeoParquetSink(DataSource):
+class ParquetSink(DataSource):
     @classmethod
     def name(cls) -> str:
         return "geoframe_parquet"
 
     def writer(self, schema, overwrite):
-        return _GeoParquetWriter(dict(self.options))
+        return _ParquetWriter(dict(self.options))
 
 
 def _write(df: DataFrame, path: str, geometry: str, version: str, codec: str, level, rows: int, crs, original, **more) -> None:
     spark = df.sparkSession
     udf.ship(spark)
-    spark.dataSource.register(GeoParquetSink)
+    spark.dataSource.register(ParquetSink)
     c, lv = metadata.compression(codec, level)
     w = df.write.format("geoframe_parquet").mode("append").option("path", path).option("geometry", geometry).option("version", metadata.version_for(original, version)).option("codec", c).option("rows", str(rows))
     for k, v in {"level": lv, "bbox": bbox_column(df), "crs": json.dumps(crs) if crs else None, "original": json.dumps(original) if original else None, **more}.items():
@@ -150,7 +150,7 @@ def _ready(path: str, overwrite: bool) -> None:
         fs.delete_dir_contents(base) if fs.get_file_info(base).type == pafs.FileType.Directory else fs.delete_file(base)
 
 
-def write_geoparquet(df: DataFrame, path: str, *, version: str | None = None, overwrite: bool = False, codec: str = "ZSTD", level: int | None = None, row_group_rows: int = 100_000, crs=None, original: dict | None = None) -> None:
+def write_parquet(df: DataFrame, path: str, *, version: str | None = None, overwrite: bool = False, codec: str = "ZSTD", level: int | None = None, row_group_rows: int = 100_000, crs=None, original: dict | None = None) -> None:
     """A folder of Parquet files, a file a task, each with `geo` metadata of its own bounds and geometry types."""
     geometry = geometry_column(df)
     if geometry is None:

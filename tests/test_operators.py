@@ -106,11 +106,11 @@ def test_tile_join_equals_broadcast(places, spark):
     assert sorted(map(tuple, one.where("b is not null").collect())) == sorted(map(tuple, two.collect())) and two.count() > 50
 
 
-def test_geoparquet_round_trip(places, tmp_path):
+def test_parquet_round_trip(places, tmp_path):
     path = str(tmp_path / "out")
-    sinks.write_geoparquet(columns.add_bbox(places), path)
+    sinks.write_parquet(columns.add_bbox(places), path)
     with pytest.raises(FileExistsError):
-        sinks.write_geoparquet(places, path)
+        sinks.write_parquet(places, path)
     files = [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")]
     infos = [metadata.file_info(f) for f in files]
     assert sum(i["rows"] for i in infos) == 400 and not [f for f in os.listdir(path) if f.endswith(".tmp")]
