@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import aggregate, columns, extract, join, sort
-from .plans import checks, metadata
+from .plans import checks, inspect, metadata
 from .sources import readers, shapefile, sinks
 
 
@@ -70,6 +70,13 @@ class GeoFrame:
     def stats(self) -> DataFrame:
         return aggregate.stats(self.df)
 
+    def info(self) -> dict:
+        """Columns, geometry, reference system, rows and bounds."""
+        return {"columns": dict(self.df.dtypes), "geometry": extract.geometry_column(self.df), "bbox_column": extract.bbox_column(self.df), "crs": metadata.crs_code(self.crs), "rows": self.df.count(), "bounds": self.bounds()}
+
+    def preview(self, n: int = 10) -> DataFrame:
+        return inspect.preview(self.df, n)
+
     def check_spatial(self, order: list[str], **options) -> checks.CheckResult:
         return checks.check_spatial_order(self.df, order, **options)
 

@@ -205,6 +205,7 @@ def test_frame_and_pipe(places, tmp_path):
     chain = pipe(lambda f: f.extract(bbox=(-90, -45, 90, 45)), lambda f: f.add_bbox(), lambda f: f.add_quadkey(resolution=6), lambda f: f.sort_hilbert())
     out = chain(GeoFrame(places))
     assert out.df.columns[-2:] == ["bbox", "quadkey"] and out.bounds()[0] >= -90 and pipe()(out) is out
+    assert out.info()["rows"] == out.df.count() and len(out.preview(3).first()["geometry"]) <= 48
     there = GeoFrame(places.where("abs(lat) < 80")).reproject("EPSG:3857")
     assert there.crs == "EPSG:3857" and abs(there.bounds()[0]) > 1e6
     with pytest.raises(ValueError, match="reproject"):
