@@ -1,18 +1,18 @@
 """Operator 7 [native]: line dedup by a deletion-neighbourhood join.
 
 Two lines are near if one edit (a character put in, taken out or replaced) turns one into the other.  Then both
-hold a common string with one character taken out of one or both of them.  Every line emits these variants as
-hashed keys and equal keys are joined:
+hold a common string with one character taken out of one or both of them.  Lines emit these variants as hashed keys
+and equal keys are joined:
 
 * two lines that lose a character at the same place and agree in the rest differ by a replacement; all lines
   under such a key are near to each other, so each is joined to the earliest of them only;
 * a line that loses a character and then equals another line differs by an insertion; the other line is the one
   centre of that key.
 
-So a group never becomes pairs.  Lines that can't have a neighbour emit nothing: one edit leaves the first or the
-last half of a line as it was, so that a line shares one of its half keys with another line or has no neighbour.
-Variants are hashed by blocks of BLOCK characters (rest of the line hashed once a block), which keeps the work on
-a long line far below the square of its length.  Matches are verified with levenshtein() on the lines themselves.
+So a group never becomes pairs.  Variants that can't match aren't emitted: one edit leaves all of a line but one
+part as it was, so the part is bisected, and a half stays open only if another line shares the whole rest of the
+line, by hash.  Variants are taken in open parts of at most OPEN + 1 characters.  The work on a line grows with its length times
+its logarithm.  Matches are verified with levenshtein() on the lines themselves.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, cut, load, with_rows
 
-MIN_CHARS, BLOCK = 16, 64
+MIN_CHARS, OPEN = 16, 8
 #: Lines that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LINE = ["h1", "h2"]
@@ -42,37 +42,45 @@ def _lines(rows: DataFrame) -> DataFrame:
     return out.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _half_keys() -> Column:
-    n = F.length("line")
-    keys = []
-    for h in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        h = h.cast("int")
-        keys += [F.xxhash64(F.lit(0), h, F.left(F.col("line"), h)), F.xxhash64(F.lit(1), h, F.right(F.col("line"), h))]
-    return F.array_distinct(F.array(*keys))
+def _halves(a: Column, c: Column) -> Column:
+    """Open parts after a bisection of the part between the first a and the last c characters: (a, c, key).
 
-
-def _variants(lines: DataFrame) -> DataFrame:
+    A line of one character more or less has its half elsewhere, so both places are taken.
+    """
+    line, m = F.col("line"), F.length("line") - a - c
+    parts = []
+    for h in (F.floor(m / 2).cast("int"), F.floor((m - 1) / 2).cast("int")):
+        for x, y in ((a + h, c), (a, c + h)):
+            parts.append(F.struct(x.alias("a"), y.alias("c"), F.xxhash64(x, y, F.left(line, x), F.right(line, y)).alias("key")))
+    return F.array_distinct(F.array(*parts))
+
+
+def _shared(parts: DataFrame) -> DataFrame:
+    """key: rests that two different lines have."""
+    return parts.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
+
+
+def _open_parts(texts: DataFrame) -> DataFrame:
+    """h1, h2, line, a, c, key: the parts of at most OPEN + 1 characters of each line outside which another line agrees."""
+    zero = F.lit(0)
+    parts, done = texts.select(*LINE, "line", zero.alias("a"), zero.alias("c"), F.lit(0).cast("long").alias("key")), []
+    while not parts.isEmpty():
+        halves = cut(parts.select(*LINE, "line", F.explode(_halves(F.col("a"), F.col("c"))).alias("p")).select(*LINE, "line", "p.*").dropDuplicates([*LINE, "a", "c"]), "line-parts")
+        now = cut(halves.join(_shared(halves), "key", "left_semi"), "line-parts")
+        size = F.length("line") - F.col("a") - F.col("c")
+        # a partner may be a character longer: at OPEN + 1 a part is both taken and bisected
+        done.append(now.where(size <= OPEN + 1))
+        parts = now.where(size > OPEN)
+    return reduce(lambda x, y: x.unionByName(y), done) if done else parts
+
+
+def _variants(parts: DataFrame) -> DataFrame:
     """h1, h2, key, at: at is the place of the character taken out, -1 for the whole line."""
-    n = F.length("line")
-
-    def block(b: Column) -> Column:
-        s = F.col("line")
-        mid = F.substr(s, b * BLOCK + 1, F.lit(BLOCK))
-        return F.struct(b.alias("b"), F.xxhash64(F.left(s, b * BLOCK)).alias("pre"), mid.alias("mid"), F.xxhash64(F.substr(s, (b + 1) * BLOCK + 1)).alias("post"), F.substr(s, b * BLOCK + 1, F.lit(BLOCK - 1)).alias("short"), F.xxhash64(F.substr(s, (b + 1) * BLOCK)).alias("rest"))
-
-    def without(x: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(x["mid"])),
-            lambda i: F.struct(F.xxhash64(x["b"], x["pre"], F.concat(F.left(x["mid"], i - 1), F.substr(x["mid"], i + 1)), x["post"]).alias("key"), (x["b"] * BLOCK + i).alias("at")),
-        )
-
-    def all_of(x: Column) -> Column:
-        whole = F.array(F.struct(F.xxhash64(x["b"], x["pre"], x["short"], x["rest"]).alias("key"), F.lit(-1).alias("at")))
-        return F.concat(whole, F.when(F.length(x["mid"]) > 0, without(x)).otherwise(F.slice(whole, 1, 0)))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), block)
-    out = lines.select(*LINE, F.explode(blocks).alias("x"))
-    return out.select(*LINE, F.explode(all_of(F.col("x"))).alias("v")).select(*LINE, "v.key", "v.at")
+    mid = F.substr(F.col("line"), F.col("a") + 1, F.length("line") - F.col("a") - F.col("c"))
+    whole = F.array(F.struct(F.xxhash64("key", "mid").alias("key"), F.lit(-1).alias("at")))
+    less = F.transform(F.sequence(F.lit(1), F.length("mid")), lambda i: F.struct(F.xxhash64(F.col("key"), F.concat(F.left(F.col("mid"), i - 1), F.substr(F.col("mid"), i + 1))).alias("key"), (F.col("a") + i).alias("at")))
+    some = F.when(F.length("mid") > 0, less).otherwise(F.slice(whole, 1, 0))
+    return parts.withColumn("mid", mid).select(*LINE, F.explode(F.concat(whole, some)).alias("v")).select(*LINE, "v.key", "v.at").distinct()
 
 
 def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
@@ -81,13 +89,12 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     first: h1, h2, ord (place of the first occurrence), keys (half keys, null for short lines); lines: every line.
     """
     halves = first.where("keys is not null").select(*LINE, F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    some = cut(halves.join(shared, "key", "left_semi").select(*LINE).distinct(), "line-candidates")
+    some = cut(halves.join(_shared(halves), "key", "left_semi").select(*LINE).distinct(), "line-candidates")
     places = first.join(some, LINE, "left_semi").select(*LINE, "ord", *[F.col(f"ord.{c}").alias(c) for c in (*ROW, "pos")])
     places = cut(places, "line-places")
     small = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     texts = cut(lines.select(*ROW, "pos", "line").join(small, [*ROW, "pos"]).select(*LINE, "ord", "line"), "line-texts")
-    v = cut(_variants(texts), "line-variants")
+    v = cut(_variants(_open_parts(texts.select(*LINE, "line"))), "line-variants")
     # one character replaced: every line under (key, at) with the earliest
     o = texts.select(*LINE, "ord")
     sub = v.where("at > 0")
@@ -108,7 +115,7 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """fid, rix, gone (places, from 0, of the lines that go). rows: fid, rix, doc_id, text."""
     lines = _lines(rows)
-    keys = F.when(F.length("line") >= min_chars, _half_keys())
+    keys = F.when(F.length("line") >= min_chars, F.transform(_halves(F.lit(0), F.lit(0)), lambda p: p["key"]))
     # the half keys of a short line stay null; equal lines have equal keys
     seen = cut(lines.select(*ROW, "doc_id", "th", "pos", *LINE, keys.alias("keys")), "lines")
     first = cut(seen.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.first("keys").alias("keys")), "first-lines")
