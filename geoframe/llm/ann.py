@@ -22,7 +22,9 @@ from .common import cut, load, pick, ship
 
 TOP, DEGREE, POOL, EXPAND = 20, 32, 256, 64
 #: Nodes of a partition, rows of a bucket (bounds of what one task holds), rounds at most, share of new edges that ends.
-PART, BUCKET, ROUNDS, SETTLED = 8192, 256, 8, 0.02
+PART, BUCKET, ROUNDS, SETTLED = 16384, 256, 8, 0.02
+#: Partitions at least.  A vector goes once to each partition that needs it: to all of few, to 2 * DEGREE of many at most.
+PARTS = 8
 #: Nodes that a query which isn't in the index starts from, at most.
 ENTRIES = 64
 #: Sets of random planes that the graph starts from.
@@ -174,7 +176,7 @@ def merge(edges: DataFrame, k: int, parts: int) -> DataFrame:
 
 def build(packed: DataFrame, n: int, k: int = DEGREE) -> DataFrame:
     """u, w, s: the neighbour graph over n nodes."""
-    parts = max(1, math.ceil(n / PART))
+    parts = max(PARTS, math.ceil(n / PART))
     edges = merge(start_edges(packed, n, k), k, parts)
     for _ in range(ROUNDS):
         edges = introduce(edges, packed, k, parts)
@@ -187,7 +189,7 @@ def search(edges: DataFrame, packed: DataFrame, queries: DataFrame, entries: lis
     """q, id, s, done: each query's pool. queries: q, qvec (32-bit floats, one component 0 more), own (node or null)."""
     from pyspark.sql import Window
 
-    parts = max(1, math.ceil(n / PART))
+    parts = max(PARTS, math.ceil(n / PART))
     back = edges.select(F.col("w").alias("u"), F.col("u").alias("w"), F.row_number().over(Window.partitionBy("w").orderBy(F.col("s").desc(), "u")).alias("r")).where(F.col("r") <= k).drop("r")
     near = edges.select("u", "w").union(back).distinct().withColumn("p", part("u", parts))
     near = cut(near, "ann-near")
