@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import load, pick, ship, with_text_ids
+from .common import load, pick, release, ship, with_text_ids
 
 #: Code points with the White_Space property (fixed values of Unicode).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -34,8 +34,8 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_BOUND, SPACE_RUN, BLANK_LAST, END = ra
 # States
 NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
 #: Code points of a batch that are scanned at once, and of a block of the scan.
-CHUNK, BLOCK = 1 << 21, 128
-CACHE = 400_000
+CHUNK, BLOCK = 1 << 20, 128
+CACHE = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -175,7 +175,7 @@ def powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9F6B3A5C1D2E4871 | 1
         with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK) + CHUNK, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK), b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
     return _POWERS
 
 
@@ -423,6 +423,8 @@ def with_tokens(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFr
             rows = [(len(ids), hashlib.sha256(c.decimal(ids)).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()) for ids in c.encode([t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])]
             n, one, two = map(list, zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[*b.schema.names, *new])
+        c.cache.clear()  # workers live on, into stages that have no use for it
+        release()
 
     schema = StructType(list(docs.schema.fields))
     for name, kind in new.items():

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,15 @@ def with_rows(df: DataFrame, **names: str) -> DataFrame:
         return take(cut(df, "rows"))
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers live on beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps or gives back memory as it likes
+
+
 def with_text_ids(df: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f(df), with doc_id as text meanwhile: pandas makes a long column with nulls one of doubles."""
     kind = df.schema["doc_id"].dataType

@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, pick, ship, with_rows, with_text_ids
+from .common import ROW, cut, load, pick, release, ship, with_rows, with_text_ids
 from .numeric import IN_SEQUENCE, Prefix, chunks
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 #: Benchmark windows whose hashes may be broadcast as a filter; with more, all windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
-CHUNK, CACHE = 1 << 21, 500_000
+CHUNK, CACHE = 1 << 20, 200_000
 WORD, NUMBER, UNIT, NAME = range(4)
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent % degrees mph kmh w kw v a hz".split()
@@ -61,6 +61,12 @@ class Words(dict):
 _WORDS = Words()
 
 
+def forget() -> None:
+    """At the end of a task: workers live on, into stages that have no use for the words."""
+    global _WORDS
+    _WORDS = Words()
+
+
 class Templates:
     """Template hashes of a run of texts, with their words; windows of WINDOW words, or the whole of a shorter text."""
 
@@ -128,6 +134,8 @@ def windows(rows: DataFrame, keep: list[str], only=None) -> DataFrame:
                 out = b[keep].iloc[lo:hi].iloc[t.owner[i]].reset_index(drop=True)
                 slots = pd.Series([t.slots(j) for j in i.tolist()], dtype="object")  # of no rows, too
                 yield out.assign(window=t.window[i], pos=t.pos[i], words=t.size[t.owner[i]], slots=slots)
+        forget()
+        release()
 
     return rows.mapInPandas(run, f"{fields}, window long, pos int, words int, slots array<string>")
 

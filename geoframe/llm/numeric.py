@@ -15,7 +15,7 @@ def powers(base: int, n: int) -> list[np.ndarray]:
     """The first n powers, at least, of an odd base and of its inverse modulo 2**64."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
         with np.errstate(over="ignore"):
-            _POWERS[base] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + (n >> 1), b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            _POWERS[base] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + (n >> 3), b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
     return _POWERS[base]
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, pick, ship, with_text_ids
+from .common import load, pick, release, ship, with_text_ids
 
 RAW_TERMS, SHAPE_TERMS = 2048, 1024
 TERMS = RAW_TERMS + SHAPE_TERMS
@@ -193,5 +193,6 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array(shared.value.score(texts) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, pick, ship, with_rows, with_text_ids
+from .common import cut, load, pick, release, ship, with_rows, with_text_ids
 from .graph import components
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(x) for x in b["text"]], np.uint64).view(np.int64)
             yield b[rest].assign(fp=fp)
+        release()
 
     return docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(run, f"{fields}, fp long")
 
