@@ -142,7 +142,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = with_rows(docs, doc_id=id_col, text=text_col)
     gone = cut(repeated_lines(rows, min_chars), "gone-lines")
-    out = rows.join(gone, ROW, "left")
+    # dealt out alike at every size: a list for most documents outgrows any broadcast
+    out = rows.join(gone.hint("merge"), ROW, "left")
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
     return out.select("doc_id", _kept(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
 
@@ -150,7 +151,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs (a file scan), all columns, without the lines that dedup_lines() takes; chars_col, if there, is the new length."""
     gone = cut(repeated_lines(with_rows(docs, doc_id=id_col, text=text_col), min_chars), "gone-lines")
-    gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone"))
+    gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone")).hint("merge")
     at = docs.metadataColumn("_metadata")
     out = docs.join(gone, (F.xxhash64(at["file_path"]) == gone["_line_fid"]) & (at["row_index"] == gone["_line_rix"]), "left")
     text = _kept(docs[f"`{text_col}`"], gone["_line_gone"])
