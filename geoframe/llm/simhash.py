@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut, load, pick, release, ship, with_rows, with_text_ids
 from .graph import components
 
@@ -175,11 +176,13 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs (a file scan) without near-duplicates: of each component the row of smallest doc_id stays.
 
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see jaccard.py), not those of
+    op8's fingerprints: two bits of 64 miss most of them.  Texts without words are equal.
     Of rows with that doc_id the first in file order of the first file stays; null ids come last.
     """
-    prints = cut(with_text_ids(with_rows(docs, doc_id=id_col, text=text_col), fingerprints), "prints")
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "fingerprints")
-    root = components(links(fps), "a", "b").withColumnRenamed("node", "fp")
+    found = cut(jaccard.sets(with_rows(docs, doc_id=id_col, text=text_col)), "prints")
+    prints = found.select("fid", "rix", "doc_id", "fp")
+    root = components(jaccard.links(found.select("fp", "toks")), "a", "b").withColumnRenamed("node", "fp")
     in_group = prints.join(root, "fp", "left").select("fid", "rix", "doc_id", F.coalesce("root", "fp").alias("group"))
     stays = in_group.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fid", "rix")).alias("m")).select(F.col("m.fid").alias("_near_fid"), F.col("m.rix").alias("_near_rix"))
     stays = cut(stays, "stays")
