@@ -260,8 +260,8 @@ class Coder:
         at = np.searchsorted(self.keys, key, "right") - 1
         return np.where(self.keys[at] == key, self.joins[at], self.base)
 
-    def merge_all(self, short: list[bytes]) -> None:
-        """Merge many pieces side by side, a pair of each in a round, and keep their ids in the cache."""
+    def merge_all(self, short: list[bytes], out: dict[bytes, tuple[int, ...]]) -> None:
+        """Merge many pieces side by side, a pair of each in a round, and put their ids in out."""
         ids = self.byte[np.frombuffer(b"".join(short), np.uint8)]
         lengths = np.fromiter(map(len, short), np.int64, len(short))
         seg = np.repeat(np.arange(len(short)), lengths)
@@ -278,7 +278,7 @@ class Coder:
                 over = np.repeat(done, size)
                 flat, stop = ids[over].tolist(), np.cumsum(size[done]).tolist()
                 for s, a, b in zip(seg[starts[done]].tolist(), [0, *stop], stop):
-                    self.cache[short[s]] = tuple(flat[a:b])
+                    out[short[s]] = tuple(flat[a:b])
                 keep = ~over
                 ids, seg, last, cost, least, size = ids[keep], seg[keep], last[keep], cost[keep], least[~done], size[~done]
                 if not len(ids):
@@ -297,16 +297,25 @@ class Coder:
             left = at[(at > 0) & (seg[at - 1] == seg[at])] - 1
             cost[left] = self.cost(ids[left], ids[left + 1])
 
-    def ids_of(self, new: list[bytes]) -> None:
-        """Put the ids of pieces that aren't in the cache there."""
-        if len(self.cache) + len(new) > self.size:  # the older half goes: dicts keep the order of insertion
-            self.cache = dict(itertools.islice(self.cache.items(), len(self.cache) // 2, None))
+    def ids_of(self, new: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """The ids of distinct pieces, without a look at the cache."""
+        out: dict[bytes, tuple[int, ...]] = {}
         for p in new:
             if (i := self.rank.get(p)) is not None:
-                self.cache[p] = (i,)
+                out[p] = (i,)
             elif len(p) > 64:
-                self.cache[p] = merge(p, self.rank)
-        self.merge_all([p for p in new if len(p) <= 64 and p not in self.rank])
+                out[p] = merge(p, self.rank)
+        self.merge_all([p for p in new if len(p) <= 64 and p not in self.rank], out)
+        return out
+
+    def keep(self, merged: dict[bytes, tuple[int, ...]]) -> None:
+        """Put the short ones of merged pieces in the cache, as many as it takes; long ones are rare, not worth keeping."""
+        short = list(itertools.islice((p for p in merged if len(p) <= 64), self.size))
+        if len(self.cache) + len(short) > self.size:  # the older half goes, or more: dicts keep the order of insertion
+            gone = max(len(self.cache) // 2, len(self.cache) + len(short) - self.size)
+            self.cache = dict(itertools.islice(self.cache.items(), gone, None))
+        for p in short:
+            self.cache[p] = merged[p]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -316,14 +325,13 @@ class Coder:
             _, first, which = np.unique(slice_hashes(raw, at), return_index=True, return_inverse=True)
             data = raw.tobytes()
             unique = [data[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist())]
-            if new := [p for p in unique if p not in self.cache]:
-                self.ids_of(new)
-                missing = [p for p in unique if p not in self.cache]  # those that the older half held
-                self.ids_of(missing)
-            found = [self.cache[p] for p in unique]
-            for p in new:
-                if len(p) > 64:  # rare and long: not worth keeping
-                    del self.cache[p]
+            # held apart from the cache, which may be smaller than the pieces of one group
+            here = {p: i for p in unique if (i := self.cache.get(p)) is not None}
+            if new := [p for p in unique if p not in here]:
+                merged = self.ids_of(new)
+                here |= merged
+                self.keep(merged)
+            found = [here[p] for p in unique]
             size = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
             n = size[which]
