@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import load, pick, release, ship, with_text_ids
+from .numeric import distinct
 
 #: Code points with the White_Space property (fixed values of Unicode).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -34,7 +35,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_BOUND, SPACE_RUN, BLANK_LAST, END = ra
 # States
 NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
 #: Code points of a batch that are scanned at once, and of a block of the scan.
-CHUNK, BLOCK = 1 << 20, 128
+CHUNK, BLOCK = 1 << 19, 128
 CACHE = 200_000
 
 
@@ -156,29 +157,6 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.append(at, len(raw)), split
 
 
-def slice_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes between consecutive offsets: a polynomial by prefix sums, then mixed with the length."""
-    power = powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[0][: len(raw)], dtype=np.uint64)])
-        h = (total[at[1:]] - total[at[:-1]]) * power[1][at[:-1]]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return (h ^ (h >> np.uint64(32))) + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers, at least, of an odd multiplier and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x9F6B3A5C1D2E4871 | 1
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK), b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-    return _POWERS
-
-
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... size[0] of them, then those of start[1], and so on."""
     stop = np.cumsum(size)
@@ -321,10 +299,8 @@ class Coder:
         """The ids of each text."""
         for group in grouped(texts):
             raw, at, split = pieces(group)
-            # equal pieces of a group are sliced, looked up and merged once
-            _, first, which = np.unique(slice_hashes(raw, at), return_index=True, return_inverse=True)
-            data = raw.tobytes()
-            unique = [data[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist())]
+            # equal pieces of a group are looked up and merged once
+            which, unique = distinct(raw, at)
             # held apart from the cache, which may be smaller than the pieces of one group
             here = {p: i for p in unique if (i := self.cache.get(p)) is not None}
             if new := [p for p in unique if p not in here]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _POWERS: dict[int, list[np.ndarray]] = {}
-#: Odd multipliers (any would do): of bytes in a word, of words in a sequence, and a second of the latter.
-IN_WORD, IN_SEQUENCE, SECOND = 0x9F6B3A5C1D2E4871, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+#: Odd multipliers (any would do) for words in a sequence, and a second one.
+IN_SEQUENCE, SECOND = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
 
 def powers(base: int, n: int) -> list[np.ndarray]:
@@ -28,7 +30,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of any slices of a sequence, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any slices of a sequence, from prefix sums of a polynomial modulo 2**64.
+
+    For short slices: two values in the order of Thue and Morse collide from some 1,000 places on, whatever the base.
+    """
 
     def __init__(self, values: np.ndarray, base: int):
         self.up, self.down = powers(base, len(values) + 1)
@@ -53,15 +58,31 @@ def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of the first word of each text and the number of all words)."""
+def distinct(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each slice among the distinct ones, those); slices lie between consecutive offsets, compared by bytes."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64), []
+    # offsets of 64 bits only where a text needs them
+    kind, width = (pa.binary(), np.int32) if at[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    coded = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(raw)]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of every word among the distinct ones, those, number of the first word of each text and the number of all words)."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     seen = np.concatenate([[False], ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))])
     edge = np.flatnonzero(seen[1:] != seen[:-1])
     start, stop = edge[::2], edge[1::2]
-    h = Prefix(raw.astype(np.uint64) + np.uint64(1), IN_WORD).slices(start, stop)
+    index, found = distinct(raw[seen[1:]], np.concatenate([[0], np.cumsum(stop - start)]))
     at = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    return h, np.searchsorted(start, at)
+    return index, found, np.searchsorted(start, at)
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of every word, number of the first word of each text and the number of all words)."""
+    index, found, first = tokens(texts)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))[index], first
 
 
 def sliding_min(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
