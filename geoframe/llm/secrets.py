@@ -2,12 +2,14 @@
 
 Base patterns give spans that always count.  Other long tokens that mix letters and digits are only candidates:
 the values of all candidates, as hashes, are counted over distinct repositories (documents) and owners (sources).
-A value that several owners hold is a copied example; one that a single owner holds looks live, and its tokens
-are added as spans of kind `owned`.  Texts are read once and never shuffled; only spans and hashes move.
+A value that several owners hold, or more than a handful of repositories of one, is a copied example; one that a
+single owner holds in few places looks live, and its tokens are added as spans of kind `owned`.  Texts are read once and never shuffled; only spans and hashes move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,70 +22,72 @@ BASE = [
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 ]
 CANDIDATE = r"([A-Za-z0-9_-]{20,})"
-MAX_OWNERS = 1
+#: Candidate tokens hold a digit and a letter at least.
+MIXED = r"(?<![A-Za-z0-9_-])" + CANDIDATE.replace("(", r"((?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])", 1)
+#: A value of more owners, or of more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 5
+#: Matches of a text whose places are summed up at once.
+RUN = 256
 SPAN = "array<struct<start:int,stop:int,kind:int,value:bigint>>"
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Matches, leftmost and not overlapping, as (start, stop, kind, hash of the value); places in code points.
-
-    The pieces between the matches, from split(), tell where each match starts.
-    """
+def _found(text: Column, pattern: str, group: int) -> Column:
+    """(gap, size, value) of each match, leftmost and not overlapping: the pieces between, from split(), tell where it starts."""
     p = F.lit(pattern)
     found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length).alias("size"),
-        F.regexp_extract_all(text, p, F.lit(group)).alias("value"),
+        F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda v: F.struct(F.xxhash64(v).alias("hash"), F.length(v).alias("length"))).alias("value"),
     )
-    walk = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda acc, x: F.when(x["size"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["gap"] + x["size"]).alias("at"),
-                F.when(F.length(x["value"]) < least, acc["out"])
-                .otherwise(
-                    F.concat(
-                        F.coalesce(acc["out"], F.array().cast(SPAN)),
-                        F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("stop"), F.lit(kind).alias("kind"), F.xxhash64(x["value"]).alias("value"))),
-                    )
-                )
-                .alias("out"),
-            )
-        ),
-        lambda acc: F.coalesce(acc["out"], F.array().cast(SPAN)),
-    )
-    return F.when(F.regexp_instr(text, p) > 0, walk).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_instr(text, p) > 0, found)
+
+
+def _spans(found: str, least: int, kind: int) -> tuple[Column, Callable[[str], Column]]:
+    """(spans with places from the start of their run of RUN matches, what makes of those, as a column, spans with places in the text).
+
+    In two steps, each a column of its own: a sum over all matches at once would copy all that is found for each of them.
+    """
+    none = F.array().cast(SPAN)
+    cell = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("stop"), F.lit(kind).alias("kind"), x["value"]["hash"].alias("value"))
+    step = lambda acc, x: F.when(x["size"].isNull(), acc).otherwise(F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.when(x["value"]["length"] < least, acc["out"]).otherwise(F.concat(acc["out"], F.array(cell(acc["at"], x)))).alias("out")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(F.col(found), i * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+    def placed(column: str) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(column, start, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = F.zip_with(column, bases, lambda r, base: F.transform(r["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["stop"] + base).alias("stop"), x["kind"].alias("kind"), x["value"].alias("value"))))
+        return F.when(F.col(column).isNull(), none).otherwise(F.flatten(moved))
+
+    return F.when(F.col(found).isNotNull(), runs), placed
 
 
 def scan(rows: DataFrame) -> DataFrame:
     """fid, rix, doc_id, owner, base (spans in order), extra (candidates outside the base spans). Map only."""
-    text = F.col("text")
-    found = rows.select(*ROW, "doc_id", "owner", F.coalesce("text", F.lit("")).alias("text"))
-    found = found.select(*ROW, "doc_id", "owner", *[F.when(text.contains("AKIA"), spans(text, p, g, n, i)).otherwise(F.array().cast(SPAN)).alias(name) if name == "access" else spans(text, p, g, n, i).alias(name) for i, (name, p, g, n) in enumerate(BASE)], _mixed(text).alias("extra"))
-    base = F.array_sort(F.concat(*[F.col(name) for name, *_ in BASE]))
+    keep, text = [*ROW, "doc_id", "owner"], F.col("text")
+    kinds = [*BASE, ("extra", MIXED, 1, 20)]
+    found = rows.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    found = found.select(*keep, *[(F.when(text.contains("AKIA"), _found(text, p, g)) if name == "access" else _found(text, p, g)).alias(name) for name, p, g, _ in kinds])
+    steps = {name: _spans(name, least, i) for i, (name, _, _, least) in enumerate(kinds)}
+    found = found.select(*keep, *[runs.alias(name) for name, (runs, _) in steps.items()])
+    found = found.select(*keep, *[placed(name).alias(name) for name, (_, placed) in steps.items()])
+    found = found.select(*keep, F.array_sort(F.concat(*[F.col(name) for name, *_ in BASE])).alias("base"), "extra")
     apart = F.filter("extra", lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    return found.withColumn("base", base).select(*ROW, "doc_id", "owner", "base", apart.alias("extra"))
-
-
-def _mixed(text: Column) -> Column:
-    """Candidate tokens: a digit and a letter at least."""
-    mixed = CANDIDATE.replace("(", r"((?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])", 1)
-    return spans(text, r"(?<![A-Za-z0-9_-])" + mixed, 1, 20, len(BASE))
+    return found.select(*keep, "base", F.when((F.size("extra") > 0) & (F.size("base") > 0), apart).otherwise(F.col("extra")).alias("extra"))
 
 
-def owned_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def owned_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """fid, rix, doc_id, base, added (spans of owner-specific candidates), n_copied, n_owned (base spans by frequency).
 
     Null text is empty; a null owner is one owner of its own; repeated rows are further repositories of their owner;
-    an empty table gives an empty one; other columns aren't read.  Values are counted per owner first, within
-    each task, so that a value found in most rows costs one row a task.
+    an empty table gives an empty one; other columns aren't read.  Values are counted per owner first, within each task,
+    so that a value found in most rows costs one row a task; the counts are cut before they are joined back, so that
+    the spans of such a value may be split over tasks.
     """
     rows = cut(scan(with_rows(docs, doc_id=id_col, text=text_col, owner=owner_col)), "secrets")
     each = rows.where("size(base) + size(extra) > 0").select(*ROW, "owner", F.explode(F.concat("base", "extra")).alias("s")).select(*ROW, "owner", "s.*")
     values = rows.select("owner", F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: s["value"]))).alias("value"))
-    frequency = values.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    judged = each.join(frequency, "value").withColumn("owned", F.col("owners") <= max_owners)
+    frequency = cut(values.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")), "frequency")
+    judged = each.join(frequency, "value").withColumn("owned", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     is_base = F.col("kind") < len(BASE)
     added = judged.groupBy(*ROW).agg(
         F.array_sort(F.collect_list(F.when(~is_base & F.col("owned"), F.struct("start", "stop", "kind", "value")))).alias("added"),
@@ -145,9 +149,9 @@ WITH d AS (
 ), s AS (
   SELECT * FROM good g WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM good h WHERE h.rid = g.rid AND h.kind < 3 AND g.a < h.b AND h.a < g.b)
 ), freq AS (
-  SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM s JOIN d USING (rid) GROUP BY val
+  SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT rid) AS repositories FROM s JOIN d USING (rid) GROUP BY val
 ), j AS (
-  SELECT s.*, owners <= 1 AS owned, name || ':' || a || ':' || b AS span FROM s JOIN freq USING (val) JOIN p USING (kind)
+  SELECT s.*, owners <= 1 AND repositories <= 5 AS owned, name || ':' || a || ':' || b AS span FROM s JOIN freq USING (val) JOIN p USING (kind)
 ), r AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,

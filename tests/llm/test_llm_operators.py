@@ -259,6 +259,16 @@ def test_secrets(spark, empty):
     assert secrets.owned_secrets(empty).count() == 0
 
 
+def test_secrets_of_long_texts_and_copied_examples(spark):
+    """More matches than are summed up at once; a token of one owner that many repositories hold is an example."""
+    long = "x".join(f" token=abc{i}é PASSWD:no " for i in range(700)) + "deadbeef" * 5
+    example, own = "Example_0123456789_abcdef", "sk-Live0123456789abcdefXYZ"
+    rows = [(0, long, "a")] + [(i, f"{example} here", "a") for i in range(1, 8)] + [(8, own, "a"), (9, own, "a")]
+    got = {r["doc_id"]: r for r in secrets.owned_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", secrets._line(secrets._by_start(F.col("base"))).alias("base"), F.size("added").alias("n")).collect()}
+    assert got[0]["base"] == brute_secrets(long)
+    assert [got[i]["n"] for i in range(1, 10)] == [0] * 7 + [1, 1]
+
+
 def test_pii(spark, empty):
     text = "Mr. John Smith (john.smith@mail.example.com, JOHN.SMITH@mail.example.com) rang +1 (212) 555-1234 or 212-555-1234. Mrs Smith: 4111 1111 1111 1111, 10.20.30.40. Иван Петров."
     d = spark.createDataFrame([(1, text, 0), (2, text + " jane@mail.example.com", 0), (3, None, 0), (4, "", 0), (5, "nothing here at all", 0)], "doc_id long, text string, spans int")
