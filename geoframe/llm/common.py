@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -24,16 +26,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of texts that a Python worker is sent at once, at most (a longer text comes alone).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even where PYTHONPATH doesn't name it."""
+    """Let Python workers import this package even where PYTHONPATH doesn't name it, and bound what they hold at once."""
     env = spark.sparkContext.environment
     env["PYTHONPATH"] = env.get("PYTHONPATH") or _ROOT
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="geoframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -49,7 +60,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where each cut that is still referred to lies, by the identity of its DataFrame.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def drop(*cuts: DataFrame | None) -> None:
+    """Delete cuts that nothing reads any more: what was made of them has been cut, too."""
+    for df in cuts:
+        found = _PATHS.pop(id(df), None)
+        if found and found[0]() is df:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(found[1])
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Identity of a row: its file and its place there.  Stable when tasks run again, distinct for repeated rows.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not e.isEmpty():
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other")).union(e.select(F.col("v").alias("node"), F.col("u").alias("other")))
         large = both.where("other > node").join(_lowest(both), "node").select(F.col("other").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        large = cut(large, "edges")
+        large, last = cut(large, "edges"), e
         down = large.select(F.col("u").alias("node"), F.col("v").alias("other"))
         low = _lowest(down)
         small = down.join(low, "node").select(F.col("other").alias("u"), F.col("low").alias("v")).union(low.select(F.col("node").alias("u"), F.col("low").alias("v")))
         e = cut(small.where("u <> v").distinct(), "edges")
+        drop(last, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
