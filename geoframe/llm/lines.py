@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, with_rows
+from .common import ROW, cut, drop, load, scanned, with_rows
 
 MIN_CHARS, OPEN = 16, 8
 #: Lines that may be broadcast; more are joined by shuffle.
@@ -42,6 +42,17 @@ def _lines(rows: DataFrame) -> DataFrame:
     return out.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
+def _half_keys(line: Column) -> Column:
+    """What _halves() gives for a whole line, hashes only and without lambdas, so that it stays in generated code."""
+    n = F.length(line)
+
+    def both(h: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(0), h, F.left(line, h)), F.xxhash64(F.lit(1), h, F.right(line, h))]
+
+    one, two = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+    return F.when(n % 2 == 1, F.array(*both(one))).otherwise(F.array(*both(one), *both(two)))
+
+
 def _halves(a: Column, c: Column) -> Column:
     """Open parts after a bisection of the part between the first a and the last c characters: (a, c, key).
 
@@ -66,7 +77,8 @@ def _open_parts(texts: DataFrame) -> DataFrame:
     parts, done = texts.select(*LINE, "line", zero.alias("a"), zero.alias("c"), F.lit(0).cast("long").alias("key")), []
     while not parts.isEmpty():
         halves = cut(parts.select(*LINE, "line", F.explode(_halves(F.col("a"), F.col("c"))).alias("p")).select(*LINE, "line", "p.*").dropDuplicates([*LINE, "a", "c"]), "line-parts")
-        now = cut(halves.join(_shared(halves), "key", "left_semi"), "line-parts")
+        now = cut(halves.join(cut(_shared(halves), "line-rests"), "key", "left_semi"), "line-parts")
+        drop(halves)
         size = F.length("line") - F.col("a") - F.col("c")
         # a partner may be a character longer: at OPEN + 1 a part is both taken and bisected
         done.append(now.where(size <= OPEN + 1))
@@ -89,7 +101,8 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     first: h1, h2, ord (place of the first occurrence), keys (half keys, null for short lines); lines: every line.
     """
     halves = first.where("keys is not null").select(*LINE, F.explode("keys").alias("key"))
-    some = cut(halves.join(_shared(halves), "key", "left_semi").select(*LINE).distinct(), "line-candidates")
+    # the small side is cut first: a join of two plain shuffles may be split where one half is very common
+    some = cut(halves.join(cut(_shared(halves), "line-rests"), "key", "left_semi").select(*LINE).distinct(), "line-candidates")
     places = first.join(some, LINE, "left_semi").select(*LINE, "ord", *[F.col(f"ord.{c}").alias(c) for c in (*ROW, "pos")])
     places = cut(places, "line-places")
     small = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
@@ -98,9 +111,9 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     # one character replaced: every line under (key, at) with the earliest
     o = texts.select(*LINE, "ord")
     sub = v.where("at > 0")
-    crowd = sub.groupBy("key", "at").agg(F.count("*").alias("c")).where("c > 1").select("key", "at")
+    crowd = cut(sub.groupBy("key", "at").agg(F.count("*").alias("c")).where("c > 1").select("key", "at"), "line-crowds")
     sub = cut(sub.join(crowd, ["key", "at"]).join(o, LINE), "line-replaced")
-    least = sub.groupBy("key", "at").agg(F.min(F.struct("ord", *LINE)).alias("m")).select("key", "at", F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2"))
+    least = cut(sub.groupBy("key", "at").agg(F.min(F.struct("ord", *LINE)).alias("m")).select("key", "at", F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2")), "line-least")
     pairs = sub.join(least, ["key", "at"]).select("h1", "h2", "g1", "g2")
     # one character more: the longer lines with the line that is left
     centre = v.where("at = -1").select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
@@ -115,7 +128,7 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """fid, rix, gone (places, from 0, of the lines that go). rows: fid, rix, doc_id, text."""
     lines = _lines(rows)
-    keys = F.when(F.length("line") >= min_chars, F.transform(_halves(F.lit(0), F.lit(0)), lambda p: p["key"]))
+    keys = F.when(F.length("line") >= min_chars, _half_keys(F.col("line")))
     # the half keys of a short line stay null; equal lines have equal keys
     seen = cut(lines.select(*ROW, "doc_id", "th", "pos", *LINE, keys.alias("keys")), "lines")
     first = cut(seen.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.first("keys").alias("keys")), "first-lines")
@@ -125,10 +138,10 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy(*ROW).agg(F.collect_list("pos").alias("gone"))
 
 
-def _kept(text: Column, gone: Column) -> Column:
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: parts[i])))
+def _kept(text: str, parts: str, gone: str) -> Column:
+    """The text without the parts that go; parts is a column of its own, so that it isn't split again for each part."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.col(parts)[i])))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -142,21 +155,26 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = with_rows(docs, doc_id=id_col, text=text_col)
     gone = cut(repeated_lines(rows, min_chars), "gone-lines")
-    # dealt out alike at every size: a list for most documents outgrows any broadcast
-    out = rows.join(gone.hint("merge"), ROW, "left")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    return out.select("doc_id", _kept(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
+    # dealt out alike at every size: a list for most documents outgrows any broadcast; a partition's lists are held, its texts pass by
+    out = rows.join(gone.hint("shuffle_hash"), ROW, "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    n_lines = F.size(F.filter("parts", lambda x: F.trim(x) != ""))
+    return out.select("doc_id", _kept("text", "parts", "gone").alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of docs (a file scan), all columns, without the lines that dedup_lines() takes; chars_col, if there, is the new length."""
+    """The rows of docs, all columns, without the lines that dedup_lines() takes; chars_col, if there, is the new length."""
+    docs = scanned(docs)
     gone = cut(repeated_lines(with_rows(docs, doc_id=id_col, text=text_col), min_chars), "gone-lines")
-    gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone")).hint("merge")
+    gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone")).hint("shuffle_hash")
     at = docs.metadataColumn("_metadata")
     out = docs.join(gone, (F.xxhash64(at["file_path"]) == gone["_line_fid"]) & (at["row_index"] == gone["_line_rix"]), "left")
-    text = _kept(docs[f"`{text_col}`"], gone["_line_gone"])
-    new = {text_col: text, chars_col: F.when(gone["_line_gone"].isNull(), docs[f"`{chars_col}`"]).otherwise(F.length(text).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    out = out.select(*own, "_line_gone", F.when(F.col("_line_gone").isNotNull(), F.split(docs[f"`{text_col}`"], "\n", -1)).alias("_line_parts"))
+    out = out.select(*own, "_line_gone", _kept(f"`{text_col}`", "_line_parts", "_line_gone").alias("_line_text"))
+    new = {text_col: F.col("_line_text")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("_line_gone").isNull(), F.col(f"`{chars_col}`")).otherwise(F.length("_line_text").cast(docs.schema[chars_col].dataType))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
