@@ -172,6 +172,57 @@ def intersects(a: Column, b: Column) -> Column:
     return _call(_intersects, a, b)
 
 
+def intersects_some(g: Column, others: Column, shared=None) -> Column:
+    """For each of others, whether g intersects it: an array of WKB or, with shared (a broadcast list of WKB), of places in that.
+
+    Points are tested against a polygon all at once.
+    """
+
+    @pandas_udf(T.ArrayType(T.BooleanType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict = {}
+
+        def parsed(x):
+            if x not in known:
+                if len(known) > 4096:
+                    known.clear()
+                try:
+                    value = shared.value[x] if shared is not None else x
+                    known[x] = None if value is None else wkb.parse(value)
+                except wkb.BadGeometry:
+                    known[x] = None
+            return known[x]
+
+        for values, lists in batches:
+            lists = [[] if x is None else list(x) for x in lists]
+            found = [[False] * len(x) for x in lists]
+            by: dict = {}
+            for row, x in enumerate(lists):
+                for place, other in enumerate(x):
+                    by.setdefault(other, []).append((row, place))
+            geometries = values.tolist()
+            points = wkb.points_of(geometries)
+            for other, places in by.items():
+                b = None if other is None else parsed(other)
+                if b is None:
+                    continue
+                leaves = list(b.leaves())
+                if points is not None and leaves and all(p.kind == 3 and p.body for p in leaves):
+                    at = np.array([row for row, _ in places])
+                    inside = np.logical_or.reduce([wkb.in_rings(points[at, 0], points[at, 1], p.body) for p in leaves])
+                    for (row, place), good in zip(places, inside.tolist()):
+                        found[row][place] = good
+                    continue
+                for row, place in places:
+                    try:
+                        found[row][place] = geometries[row] is not None and bool(wkb.intersects(wkb.parse(geometries[row]), b))
+                    except wkb.BadGeometry:
+                        pass
+            yield pd.Series(found, dtype="object")
+
+    return _call(run, g, others)
+
+
 def distance(a: Column, b: Column) -> Column:
     return _call(_distance, a, b)
 

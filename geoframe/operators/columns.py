@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -70,11 +71,54 @@ def kdtree_splits(points: np.ndarray, levels: int) -> list[float | None]:
     return splits
 
 
-def add_kdtree(df: DataFrame, name: str = "kdtree_cell", *, iterations: int | None = LEVELS, sample_size: int = SAMPLE, auto_target_rows: int | None = None, key: list[str] | None = None) -> DataFrame:
+#: Parts into which a cell's range is cut in each pass towards its exact median.
+PARTS = 1024
+
+
+def _cell(splits: list[float | None], levels: int) -> Column:
+    """Heap number of the cell of _cell_x, _cell_y after so many levels; splits: medians in heap order from place 1."""
+    # the coordinates become columns first: a geometry function can't stand within a lambda
+    at = lambda level: F.when(level % 2 == 0, F.col("_cell_x")).otherwise(F.col("_cell_y"))
+    if not levels:
+        return F.lit(1)
+    medians = F.array(*[F.lit(v).cast("double") for v in splits[1:]])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), lambda i, level: i * 2 + F.when(at(level) >= F.element_at(medians, i), 1).otherwise(0))
+
+
+def exact_splits(points: DataFrame, levels: int) -> list[float | None]:
+    """Lower medians of all points (_cell_x, _cell_y) in heap order, level by level.
+
+    For each cell the range that holds its median is cut into PARTS parts, whose rows are counted with partial sums, until
+    the part of the median holds a single value.  The driver sees one row a cell and pass.
+    """
+    spark = points.sparkSession
+    splits: list[float | None] = [None] * (2**levels)
+    for level in range(levels):
+        axis = "_cell_y" if level % 2 else "_cell_x"
+        rows = points.select(_cell(splits, level).alias("cell"), F.col(axis).alias("v"))
+        # cell: least and largest value that may be the median, rows below, the median's place
+        open_ = {r["cell"]: (r["lo"], r["hi"], 0, (r["n"] - 1) // 2) for r in rows.groupBy("cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()}
+        while True:
+            for cell in [c for c, (lo, hi, *_) in open_.items() if lo == hi]:
+                splits[cell] = open_.pop(cell)[0]
+            if not open_:
+                break
+            state = F.broadcast(spark.createDataFrame([(c, *x) for c, x in open_.items()], "cell int, lo double, hi double, below long, rank long"))
+            met = rows.join(state, "cell").where("v between lo and hi")
+            part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))
+            counts = met.groupBy("cell", "below", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            upto = F.sum("n").over(Window.partitionBy("cell").orderBy("part")) + F.col("below")
+            held = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+            open_ = {r["cell"]: (r["lo"], r["hi"], r["upto"] - r["n"], r["rank"]) for r in held.collect()}
+    return splits
+
+
+def add_kdtree(df: DataFrame, name: str = "kdtree_cell", *, iterations: int | None = LEVELS, sample_size: int | None = SAMPLE, auto_target_rows: int | None = None, key: list[str] | None = None) -> DataFrame:
     """Cell id: '0', then for each level 0 below the cell's median and 1 from it on; null coordinates go below.
 
-    Medians come from the sample_size rows of least hash (all rows of a smaller table), a bounded top-k; the cells
-    are then one expression over an array of medians, in one pass, without a join.
+    Medians come from the sample_size rows of least hash, a bounded top-k (of the key, else of the row's place in its file, so
+    that copies of a point are drawn one by one), or, with sample_size None, exactly from all rows; the cells are then one
+    expression over an array of medians, in one pass, without a join.
     """
     if auto_target_rows:
         iterations = levels_for(df.count(), auto_target_rows)
@@ -82,14 +126,25 @@ def add_kdtree(df: DataFrame, name: str = "kdtree_cell", *, iterations: int | No
     if not 1 <= levels <= MAX_LEVELS:
         raise ValueError(f"iterations must be between 1 and {MAX_LEVELS}")
     x, y = center(df)
-    points = df.select(x.alias("x"), y.alias("y"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key or [])]).where("x is not null and y is not null")
-    hashed = [f"k{i}" for i in range(len(key))] if key else ["x", "y"]
-    sample = points.orderBy(F.xxhash64(*hashed), "x", "y").limit(sample_size).select("x", "y").toPandas().to_numpy(np.float64)
-    splits = F.array(*[F.lit(v).cast("double") for v in kdtree_splits(sample, levels)[1:]])
-    # the coordinates become columns first: a geometry function can't stand within a lambda
-    at = lambda level: F.when(level % 2 == 0, F.col("_cell_x")).otherwise(F.col("_cell_y"))
-    cell = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), lambda i, level: i * 2 + F.when(at(level) >= F.element_at(splits, i), 1).otherwise(0))
-    return df.withColumns({"_cell_x": x, "_cell_y": y}).withColumn(name, F.concat(F.lit("0"), F.substring(F.bin(cell.cast("long")), 2, levels))).drop("_cell_x", "_cell_y")
+    whole = "_cell_x is not null and _cell_y is not null"
+    if sample_size is None:
+        splits = exact_splits(df.select(x.cast("double").alias("_cell_x"), y.cast("double").alias("_cell_y")).where(whole), levels)
+    else:
+        at = [F.col(f"`{c}`") for c in key] if key else _place(df)
+        points = df.select(x.alias("_cell_x"), y.alias("_cell_y"), F.xxhash64(*at).alias("_hash")).where(whole)
+        sample = points.orderBy("_hash", "_cell_x", "_cell_y").limit(sample_size).select("_cell_x", "_cell_y").toPandas().to_numpy(np.float64)
+        splits = kdtree_splits(sample, levels)
+    return df.withColumns({"_cell_x": x, "_cell_y": y}).withColumn(name, F.concat(F.lit("0"), F.substring(F.bin(_cell(splits, levels).cast("long")), 2, levels))).drop("_cell_x", "_cell_y")
+
+
+def _place(df: DataFrame) -> list[Column]:
+    """What tells rows apart: file and place, or all columns where df is no scan."""
+    try:
+        at = df.metadataColumn("_metadata")
+        df.select(at["row_index"])
+        return [at["file_path"], at["row_index"]]
+    except AnalysisException:
+        return [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
 
 
 def reproject(df: DataFrame, target_crs: str = "EPSG:4326", source_crs: str = "EPSG:4326") -> DataFrame:

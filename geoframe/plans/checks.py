@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import udf
+from ..functions import udf, wkb
 from ..operators.extract import geometry_column
 
 
@@ -25,10 +28,36 @@ class CheckResult:
 
 
 def consecutive_distance(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row: the mean distance of consecutive geometries. For samples: the order is that of one task."""
+    """One row: the mean distance of consecutive geometries, those without one left out.
+
+    Dealt by ranges of the order: a task adds up its own distances and tells its first and last geometry, from which the
+    distances from range to range are taken, one a task.
+    """
     g = geometry_column(df)
-    before = df.select(F.col(f"`{g}`").alias("a"), F.lag(f"`{g}`").over(Window.orderBy(*order)).alias("b"))
-    return before.where("b is not null").agg(F.avg(udf.distance(F.col("a"), F.col("b"))).alias("avg_distance"))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)], F.col(f"`{g}`").alias("g"))
+    keys = [f"k{i}" for i in range(len(order))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        total, n = 0.0, 0
+        for b in batches:
+            found = [wkb.parse(x) for x in b["g"] if x is not None]
+            for now in found:
+                d = None if last is None else wkb.distance(last, now)
+                if d is not None:
+                    total, n = total + d, n + 1
+                first, last = first or now, now
+        if first is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "total": [total], "n": [n], "first": [wkb.encode(first)], "last": [wkb.encode(last)]})
+
+    udf.ship(df.sparkSession)
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("g")
+    parts = sorted(dealt.mapInPandas(run, "part int, total double, n long, first binary, last binary").collect(), key=lambda r: r["part"])
+    steps = [wkb.distance(wkb.parse(bytes(a["last"])), wkb.parse(bytes(b["first"]))) for a, b in zip(parts, parts[1:])]
+    steps = [d for d in steps if d is not None]
+    n = sum(p["n"] for p in parts) + len(steps)
+    mean = (sum(p["total"] for p in parts) + sum(steps)) / n if n else None
+    return df.sparkSession.createDataFrame([(mean,)], "avg_distance double")
 
 
 def random_distance(df: DataFrame, order: list[str], sample: int = 100) -> DataFrame:
@@ -38,9 +67,9 @@ def random_distance(df: DataFrame, order: list[str], sample: int = 100) -> DataF
     return one.join(two, F.col("a") != F.col("b")).agg(F.avg(udf.distance(F.col("a"), F.col("b"))).alias("avg_distance"))
 
 
-def check_spatial_order(df: DataFrame, order: list[str], sample: int = 100, rows: int = 100_000) -> CheckResult:
-    """Consecutive rows should be nearer than random ones: the ratio should be under one half."""
-    part = df.orderBy(*order).limit(rows)
+def check_spatial_order(df: DataFrame, order: list[str], sample: int = 100, rows: int | None = None) -> CheckResult:
+    """Consecutive rows (the first `rows` of them, or all) should be nearer than random ones: the ratio should be under one half."""
+    part = df if rows is None else df.orderBy(*order).limit(rows)
     near, far = consecutive_distance(part, order).first()[0], random_distance(part, order, sample).first()[0]
     ratio = near / far if near and far else None
     good = ratio is not None and ratio < 0.5

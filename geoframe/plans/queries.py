@@ -169,24 +169,19 @@ def hilbert_index(spark, sf):
     return sort.add_hilbert(p).select("c_custkey", "hilbert")
 
 
-@query(f"SELECT c_custkey FROM ({_hilbert_sql()}) ORDER BY hilbert, c_custkey LIMIT 50")
-def sort_hilbert_first(spark, sf):
-    p = points(spark, sf)
-    return sort.add_hilbert(p).orderBy("hilbert", "c_custkey").limit(50).select("c_custkey")
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY hilbert, c_custkey) AS place FROM ({_hilbert_sql()})")
+def sort_hilbert(spark, sf):
+    return sort.place(sort.add_hilbert(points(spark, sf)), ["hilbert", "c_custkey"]).select("c_custkey", "place")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal DESC NULLS LAST, c_custkey DESC) AS place FROM customer ORDER BY place LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority NULLS LAST, o_totalprice NULLS LAST, o_orderkey) AS place FROM orders")
 def sort_column(spark, sf):
-    top = sort.sort_column(table(spark, sf, "customer"), ["c_mktsegment", "c_acctbal", "c_custkey"], descending=True).limit(100)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("c_mktsegment"), F.desc("c_acctbal"), F.desc("c_custkey"))  # over the 100 rows only
-    return top.select("c_custkey", F.row_number().over(w).alias("place"))
+    return sort.place(table(spark, sf, "orders"), ["o_orderpriority", "o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
 
 
-@query(f"SELECT c_custkey FROM ({_quadkey_sql(13)}) ORDER BY quadkey, c_custkey LIMIT 50")
-def sort_quadkey_first(spark, sf):
-    return sort.sort_quadkey(points(spark, sf)).orderBy("quadkey", "c_custkey").limit(50).select("c_custkey")
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY quadkey, c_custkey) AS place FROM ({_quadkey_sql(13)})")
+def sort_quadkey(spark, sf):
+    return sort.place(columns.add_quadkey(points(spark, sf)), ["quadkey", "c_custkey"]).select("c_custkey", "place")
 
 
 def _kdtree_sql(levels: int) -> str:
@@ -199,7 +194,7 @@ def _kdtree_sql(levels: int) -> str:
 
 @query(_kdtree_sql(3))
 def kdtree_three_levels(spark, sf):
-    return columns.add_kdtree(points(spark, sf), iterations=3, sample_size=1_000_000, key=["c_custkey"]).select("c_custkey", "kdtree_cell")
+    return columns.add_kdtree(points(spark, sf), iterations=3, sample_size=None).select("c_custkey", "kdtree_cell")
 
 
 @query("SELECT c_mktsegment AS value, count(*) AS n_rows FROM customer GROUP BY 1")
@@ -233,11 +228,8 @@ def spatial_left_join_exact(spark, sf):
 
 @query(JOIN)
 def spatial_left_join_tiles(spark, sf):
-    p = points(spark, sf, whole=True)
-    rows = join._row_id(p)
-    side = nations(spark, sf).select(F.col("bbox").alias("_rb"), F.col("n_name").alias("admin_name"))
-    found = join._by_tile(rows, side, "bbox").select("_row", "admin_name")
-    return rows.join(found, "_row", "left").select("c_custkey", "admin_name")
+    """With both sides shuffled, as boundaries too large to be broadcast are."""
+    return join.spatial_left_join(points(spark, sf, whole=True), nations(spark, sf), {"admin_name": "n_name"}, broadcast_bytes=0).select("c_custkey", "admin_name")
 
 
 @query(f"SELECT count(*) AS total, count(admin_name) AS matched, count(DISTINCT admin_name) AS n_0 FROM ({JOIN})")
@@ -265,11 +257,11 @@ def reproject_mercator(spark, sf):
     return p.select("c_custkey", c.alias("c")).select("c_custkey", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
 
 
-@query(f"WITH {POINTS}, l AS (SELECT lon, lat, lag(lon) OVER (ORDER BY c_custkey) AS px, lag(lat) OVER (ORDER BY c_custkey) AS py FROM points WHERE c_custkey <= 1000) SELECT round(avg(sqrt((lon - px) * (lon - px) + (lat - py) * (lat - py))), 6) AS avg_distance FROM l")
+@query(f"WITH {POINTS}, l AS (SELECT lon, lat, lag(lon) OVER (ORDER BY c_custkey) AS px, lag(lat) OVER (ORDER BY c_custkey) AS py FROM points) SELECT round(avg(sqrt((lon - px) * (lon - px) + (lat - py) * (lat - py))), 6) AS avg_distance FROM l")
 def spatial_order_consecutive(spark, sf):
     from . import checks
 
-    return checks.consecutive_distance(points(spark, sf, geometry=True).where("c_custkey <= 1000"), ["c_custkey"]).select(F.round("avg_distance", 6).alias("avg_distance"))
+    return checks.consecutive_distance(points(spark, sf, geometry=True), ["c_custkey"]).select(F.round("avg_distance", 6).alias("avg_distance"))
 
 
 @query(f"WITH {POINTS} SELECT c_custkey, 'POINT (' || CASE WHEN lon = floor(lon) THEN lon::INT::VARCHAR ELSE lon::VARCHAR END || ' ' || CASE WHEN lat = floor(lat) THEN lat::INT::VARCHAR ELSE lat::VARCHAR END || ')' AS wkt FROM points")

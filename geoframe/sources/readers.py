@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sqlite3
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf
+from . import geojson
 
 #: Column names that hold geometries or coordinates (fixed values, in order of preference).
 WKT_NAMES = ("wkt", "geometry", "geom", "the_geom", "shape")
@@ -68,10 +68,17 @@ def read_csv(spark: SparkSession, path: str, *, delimiter: str | None = None, wk
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of a collection, or of one feature a line: properties as columns, id if any, geometry."""
-    raw = spark.read.text(path, wholetext=True) if not path.endswith(("l", "s", "seq")) else spark.read.text(path)
-    value = F.regexp_replace("value", "^\\x1e", "")
-    features = raw.select(F.try_parse_json(value).alias("v")).select(F.coalesce(F.try_variant_get("v", "$.features", "array<variant>"), F.array("v")).alias("f")).select(F.explode("f").alias("f"))
-    parts = features.select(F.to_json(F.try_variant_get("f", "$.geometry", "variant")).alias("g"), F.to_json(F.try_variant_get("f", "$.properties", "variant")).alias("p"), F.try_variant_get("f", "$.id", "string").alias("id"))
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+    head = b""
+    if files:
+        with geojson._open(files[0]["path"]) as f:
+            head = f.read(1 << 16)
+    if geojson.is_lines(path, head):
+        value = F.regexp_replace("value", "^\\x1e", "")
+        features = spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json(value).alias("f"))
+        parts = features.select(F.to_json(F.try_variant_get("f", "$.geometry", "variant")).alias("g"), F.to_json(F.try_variant_get("f", "$.properties", "variant")).alias("p"), F.try_variant_get("f", "$.id", "string").alias("id"))
+    else:
+        parts = geojson.read_features(spark, path)
     schema = spark.read.json(parts.where("p is not null and p <> 'null'").select("p").rdd.map(lambda r: r[0])).schema
     out = parts.withColumn("props", F.from_json("p", schema)).withColumn("geometry", udf.from_geojson(F.col("g")))
     names = [F.col(f"props.`{f.name}`") for f in schema.fields]
@@ -117,8 +124,3 @@ def convert(spark: SparkSession, path: str, **options) -> DataFrame:
     if kind in (".parquet", ""):
         return read_parquet(spark, path, **options)
     raise ValueError(f"no reader for {kind}")
-
-
-def feature_service_page(text: str) -> list[tuple[str, str]]:
-    """(geometry, properties) as JSON text of one GeoJSON page of a feature service."""
-    return [(json.dumps(f.get("geometry")), json.dumps(f.get("properties") or {})) for f in json.loads(text).get("features", [])]

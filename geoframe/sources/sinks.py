@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from ..plans import metadata
 
 #: Between the values of a nested key; no value of an admin level holds it.
 BETWEEN = "\x1f"
+#: Rows of one value that a task writes, about.
+ROWS_PER_FILE = 1_000_000
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -34,8 +37,8 @@ class _Written(WriterCommitMessage):
 
 
 class _ParquetWriter(DataSourceArrowWriter):
-    """Each task writes its own files under a temporary name, with the bounds and types of what they hold; the
-    commit gives them their names, so that a task that runs again, or a lost executor, leaves nothing behind."""
+    """Each task writes its own files under a temporary name, with the bounds and types of what they hold; the commit gives
+    them their names.  All of it lies in a folder beside the target (see _beside), with which goes what lost attempts left."""
 
     def __init__(self, options: dict):
         self.o = options
@@ -46,9 +49,12 @@ class _ParquetWriter(DataSourceArrowWriter):
         key, root = o.get("key"), o["path"].rstrip("/")
         fs, base = _fs(root)
         open_files: dict = {}
+        done: list[tuple[str, str]] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for value in table.column(key).unique().to_pylist() if key else [None]:
+                for other in [v for v in open_files if v != value]:  # rows come sorted by key
+                    done.append((open_files.pop(other).close(), _file_name(o, other)))
                 part = table.filter(pa.compute.equal(table.column(key), value)) if key else table
                 if key and o["keep"] != "true":
                     part = part.drop([key])
@@ -56,7 +62,7 @@ class _ParquetWriter(DataSourceArrowWriter):
                     name = f"{base}/_{self.job}-{uuid.uuid4().hex[:12]}.tmp"
                     open_files[value] = _OpenFile(fs, name, part.schema, o)
                 open_files[value].add(part)
-        return _Written([(f.close(), _file_name(o, v, i)) for i, (v, f) in enumerate(open_files.items())])
+        return _Written(done + [(f.close(), _file_name(o, v)) for v, f in open_files.items()])
 
     def commit(self, messages) -> None:
         fs, base = _fs(self.o["path"].rstrip("/"))
@@ -109,7 +115,7 @@ class _OpenFile:
         return self.name
 
 
-def _file_name(o: dict, value, i: int) -> str:
+def _file_name(o: dict, value) -> str:
     if not o.get("key"):
         return "part.parquet"
     prefix = f"{o['prefix']}_" if o.get("prefix") else ""
@@ -142,12 +148,37 @@ def _write(df: DataFrame, path: str, geometry: str, version: str, codec: str, le
     w.save()
 
 
-def _ready(path: str, overwrite: bool) -> None:
+@contextmanager
+def _beside(path: str, overwrite: bool) -> Iterator[str]:
+    """A folder beside path to write in, which then takes its place: until all is written the old data stay, and may be read.
+
+    A failed write leaves path as it was.
+    """
     fs, base = _fs(path.rstrip("/"))
-    if fs.get_file_info(base).type != pafs.FileType.NotFound:
-        if not overwrite:
-            raise FileExistsError(f"{path} is there already; overwrite it explicitly")
-        fs.delete_dir_contents(base) if fs.get_file_info(base).type == pafs.FileType.Directory else fs.delete_file(base)
+    there = lambda x: fs.get_file_info(x).type
+    if there(base) != pafs.FileType.NotFound and not overwrite:
+        raise FileExistsError(f"{path} is there already; overwrite it explicitly")
+    head, _, name = path.rstrip("/").rpartition("/")
+    mark = uuid.uuid4().hex[:12]
+    staged = f"{head}/.{name}-{mark}.new" if head else f".{name}-{mark}.new"
+    new, old = _fs(staged)[1], f"{_fs(staged)[1][:-4]}.old"
+    if "/" in base.strip("/"):
+        fs.create_dir(base.rpartition("/")[0] or "/", recursive=True)
+    remove = lambda x: fs.delete_dir(x) if there(x) == pafs.FileType.Directory else fs.delete_file(x) if there(x) == pafs.FileType.File else None
+    try:
+        yield staged
+        if there(new) == pafs.FileType.NotFound:
+            fs.create_dir(new, recursive=True)
+        if there(new) == pafs.FileType.Directory:
+            for f in fs.get_file_info(pafs.FileSelector(new)):
+                if f.base_name.endswith(".tmp"):
+                    fs.delete_file(f.path)
+        if there(base) != pafs.FileType.NotFound:
+            fs.move(base, old)
+        fs.move(new, base)
+    finally:
+        remove(new)
+    remove(old)
 
 
 def write_parquet(df: DataFrame, path: str, *, version: str | None = None, overwrite: bool = False, codec: str = "ZSTD", level: int | None = None, row_group_rows: int = 100_000, crs=None, original: dict | None = None) -> None:
@@ -157,8 +188,8 @@ def write_parquet(df: DataFrame, path: str, *, version: str | None = None, overw
         raise ValueError("no geometry")
     if version == "2.0":
         raise ValueError("native geometry types can't be written here; versions 1.0 and 1.1 can")
-    _ready(path, overwrite)
-    _write(df, path, geometry, version, codec, level, row_group_rows, crs, original)
+    with _beside(path, overwrite) as staged:
+        _write(df, staged, geometry, version, codec, level, row_group_rows, crs, original)
 
 
 def sanitize(value: str) -> str:
@@ -167,31 +198,40 @@ def sanitize(value: str) -> str:
 
 
 def partition_by(df: DataFrame, path: str, column: str, *, prefix: int | None = None, hive: bool = False, keep_column: bool = True, overwrite: bool = False, force: bool = False, filename_prefix: str | None = None, version: str | None = None) -> int:
-    """A file for each value of a column (or of its first characters); the number of values is returned.
+    """A folder or file for each value of a column (or of its first characters); the number of values is returned.
 
     Null values are left out; all null is an error, as are two values with one file name and, unless forced, a
-    partitioning that the analysis is against.  Rows are dealt by value, so each file is written by one task.
+    partitioning that the analysis is against.  Rows are dealt by value; those of a value with more than ROWS_PER_FILE rows to
+    as many tasks, each with a file of its own, as that takes.
     """
     geometry = geometry_column(df)
     key = partition_key(column, prefix)
     rows = df.withColumn("_key", key.cast("string")).where("_key is not null")
-    values = [r[0] for r in rows.select("_key").distinct().limit(10_001).collect()]
-    if not values:
+    counts = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    n = counts.count()
+    if not n:
         raise ValueError(f"{column} holds no values")
-    names: dict[str, str] = {}
-    for v in values:
-        other = names.setdefault(sanitize(v) if not hive else v, v)
-        if other != v:
-            raise ValueError(f"{other!r} and {v!r} would share the file {sanitize(v)}")
+    if not hive:
+        name = F.regexp_replace(F.regexp_replace(F.regexp_replace("_key", "[^a-zA-Z0-9._-]", "_"), "_+", "_"), "^[_.]+|[_.]+$", "")
+        if shared := counts.groupBy(name.alias("name")).agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").first():
+            raise ValueError(f"{shared['a']!r} and {shared['b']!r} would share the file {shared['name']}")
     if not force and (report := analyze_partitions(df, column, prefix)).errors:
         raise ValueError("; ".join(report.errors))
-    _ready(path, overwrite)
     if not keep_column:
         rows = rows.drop(column)
     label = column if prefix is None else f"{column}_prefix"
-    dealt = rows.repartition("_key").sortWithinPartitions("_key")
-    _write(dealt, path, geometry, version, "ZSTD", None, 100_000, None, None, key="_key", label=label, hive=str(hive).lower(), keep="false", prefix=filename_prefix)
-    return len(values)
+    with _beside(path, overwrite) as staged:
+        _write(_dealt(rows, counts), staged, geometry, version, "ZSTD", None, 100_000, None, None, key="_key", label=label, hive=str(hive).lower(), keep="false", prefix=filename_prefix)
+    return n
+
+
+def _dealt(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows by _key, sorted; those of keys (counts: _key, n) with more than ROWS_PER_FILE rows in several partitions."""
+    # as many as fit into the table at most, so small beside it
+    large = counts.where(F.col("n") > ROWS_PER_FILE).select(F.col("_key").alias("_large"), F.ceil(F.col("n") / ROWS_PER_FILE).cast("int").alias("_parts"))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = rows.join(large, F.col("_key") == F.col("_large"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("_parts")).cast("int"), F.lit(0)))
+    return salted.repartition("_key", "_part").sortWithinPartitions("_key").select(*rows.columns)
 
 
 def partition_by_levels(df: DataFrame, path: str, levels: dict[str, str], *, keep: list[str], hive: bool = True, overwrite: bool = False, filename_prefix: str | None = None, version: str | None = None) -> int:
@@ -201,13 +241,13 @@ def partition_by_levels(df: DataFrame, path: str, levels: dict[str, str], *, kee
     """
     values = [F.col(f"`{c}`").cast("string") for c in levels.values()]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.when(F.size(F.array_compact(F.array(*values))) == len(values), F.concat_ws(BETWEEN, *values)).alias("_key")).where("_key is not null")
-    found = [r[0] for r in rows.select("_key").distinct().limit(10_001).collect()]
-    if not found:
+    counts = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    n = counts.count()
+    if not n:
         raise ValueError("no row has all levels")
-    _ready(path, overwrite)
-    dealt = rows.repartition("_key").sortWithinPartitions("_key")
-    _write(dealt, path, geometry_column(df), version, "ZSTD", None, 100_000, None, None, key="_key", labels=BETWEEN.join(levels), hive=str(hive).lower(), keep="false", prefix=filename_prefix)
-    return len(found)
+    with _beside(path, overwrite) as staged:
+        _write(_dealt(rows, counts), staged, geometry_column(df), version, "ZSTD", None, 100_000, None, None, key="_key", labels=BETWEEN.join(levels), hive=str(hive).lower(), keep="false", prefix=filename_prefix)
+    return n
 
 
 def csv_frame(df: DataFrame, *, include_wkt: bool = True, include_bbox: bool = True) -> DataFrame:
@@ -227,7 +267,8 @@ def csv_frame(df: DataFrame, *, include_wkt: bool = True, include_bbox: bool = T
 
 
 def write_csv(df: DataFrame, path: str, *, include_wkt: bool = True, include_bbox: bool = True, overwrite: bool = False) -> None:
-    csv_frame(df, include_wkt=include_wkt, include_bbox=include_bbox).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+    with _beside(path, overwrite) as staged:
+        csv_frame(df, include_wkt=include_wkt, include_bbox=include_bbox).write.option("header", True).option("escape", '"').csv(staged)
 
 
 def geojson_features(df: DataFrame, *, precision: int = 7, write_bbox: bool = False, id_field: str | None = None, crs: str = "OGC:CRS84", keep_crs: bool = False) -> DataFrame:
@@ -254,10 +295,10 @@ def write_geojson(df: DataFrame, path: str, *, sequence: bool = False, overwrite
     """A folder of newline-delimited features (sequence), or one local file with a feature collection, streamed row by row."""
     rows = geojson_features(df, **options)
     if sequence:
-        rows.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+        with _beside(path, overwrite) as staged:
+            rows.write.text(staged)
         return
-    _ready(path, overwrite)
-    with open(path, "w", encoding="utf-8") as f:
+    with _beside(path, overwrite) as staged, open(staged, "w", encoding="utf-8") as f:
         f.write('{"type":"FeatureCollection","features":[')
         for i, r in enumerate(rows.toLocalIterator()):
             f.write(("," if i else "") + "\n" + r["value"])
@@ -266,10 +307,14 @@ def write_geojson(df: DataFrame, path: str, *, sequence: bool = False, overwrite
 
 def write_geopackage(df: DataFrame, path: str, *, layer: str = "features", srs_id: int = 4326, overwrite: bool = False) -> None:
     """One local file, streamed row by row; structs, lists and maps are left out."""
+    with _beside(path, overwrite) as staged:
+        _fill_geopackage(df, staged, layer, srs_id)
+
+
+def _fill_geopackage(df: DataFrame, path: str, layer: str, srs_id: int) -> None:
     import sqlite3
     import struct as st
 
-    _ready(path, overwrite)
     geom = geometry_column(df)
     plain = [f for f in df.schema.fields if f.name != geom and f.dataType.typeName() not in ("struct", "array", "map")]
     kinds = {"long": "INTEGER", "integer": "MEDIUMINT", "short": "SMALLINT", "byte": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "binary": "BLOB", "date": "DATE"}

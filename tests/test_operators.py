@@ -7,7 +7,7 @@ from geoframe.frame import GeoFrame, pipe
 from geoframe.functions import expr, udf
 from geoframe.operators import aggregate, columns, extract, join, sort
 from geoframe.plans import checks, metadata, stac
-from geoframe.sources import readers, sinks
+from geoframe.sources import geojson, readers, sinks
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,36 @@ def test_kdtree(places):
     assert auto == 4
 
 
+def test_exact_kdtree(places, spark):
+    """Medians of all rows, also where half of them stand on one point; a sample draws copies one by one."""
+    df = places.select("id", F.when(F.col("id") % 2 == 0, F.lit(3.5)).otherwise(F.col("lon")).alias("lon"), F.when(F.col("id") % 2 == 0, F.lit(-1.25)).otherwise(F.col("lat") / 3).alias("lat"))
+    rows = [(r["id"], r["lon"], r["lat"]) for r in df.collect()]
+    want, cells = {}, {"0": rows}
+    for level in range(4):
+        after = {}
+        for cell, part in cells.items():
+            v = sorted(r[1 + level % 2] for r in part)
+            for r in part:
+                after.setdefault(cell + str(int(r[1 + level % 2] >= v[(len(v) - 1) // 2])), []).append(r)
+        cells = after
+    want = {r[0]: cell for cell, part in cells.items() for r in part}
+    assert {r["id"]: r["kdtree_cell"] for r in columns.add_kdtree(df, iterations=4, sample_size=None).collect()} == want
+    assert {r["id"]: r["kdtree_cell"] for r in columns.add_kdtree(df, iterations=4, sample_size=400, key=["id"]).collect()} == want
+    assert columns.add_kdtree(df.where("false"), iterations=2, sample_size=None).count() == 0
+
+
+def test_places_and_distances_of_a_whole_order(places):
+    df = places.withColumn("v", F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 7))
+    got = [r["id"] for r in sort.place(df, ["v", "id"], ranges=5).orderBy("place").collect()]
+    assert got == [r["id"] for r in df.orderBy(F.asc_nulls_last("v"), "id").collect()]
+    words = df.select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("prefix"), F.col("id").cast("string"))).alias("w"), "id")
+    assert [r["id"] for r in sort.place(words, ["w", "id"], ranges=9).orderBy("place").collect()] == [r["id"] for r in words.orderBy(F.asc_nulls_last("w"), "id").collect()]
+    p = [(r["lon"], r["lat"]) for r in places.orderBy("id").collect()]
+    mean = sum(((a - c) ** 2 + (b - d) ** 2) ** 0.5 for (a, b), (c, d) in zip(p, p[1:])) / 399
+    assert abs(checks.consecutive_distance(places, ["id"]).first()[0] - mean) < 1e-9
+    assert checks.consecutive_distance(places.where("false"), ["id"]).first()[0] is None
+
+
 def test_sort_hilbert_brings_neighbours_together(places):
     done = sort.sort_hilbert(places).withColumn("place", F.monotonically_increasing_id())
     assert checks.check_spatial_order(done, ["place"]).details["ratio"] < 0.5 < checks.check_spatial_order(places, ["id"]).details["ratio"]
@@ -100,10 +130,33 @@ def test_tile_join_equals_broadcast(places, spark):
     boxes = spark.range(60).select("id", expr.bbox_struct(*[F.lit(0.0)] * 4).alias("z"), ((F.col("id") * 71) % 340 - 180.0).alias("x"), ((F.col("id") * 31) % 150 - 85.0).alias("y"), F.pow(F.lit(2.0), F.col("id") % 7).alias("w"))
     boxes = boxes.select(F.col("id").alias("b"), expr.bbox_struct(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")).alias("bbox"))
     left = columns.add_bbox(places).withColumn("bbox", F.struct(F.col("bbox.xmin"), F.col("bbox.ymin"), (F.col("bbox.xmax") + 9).alias("xmax"), (F.col("bbox.ymax") + 3).alias("ymax")))
-    one = join.spatial_left_join(left, boxes, {"b": "b"}, exact=False).select("id", "b")
-    rows = join._row_id(left)
-    two = join._by_tile(rows, boxes.select(F.col("bbox").alias("_rb"), "b"), "bbox").select("id", "b")
-    assert sorted(map(tuple, one.where("b is not null").collect())) == sorted(map(tuple, two.collect())) and two.count() > 50
+    one, two = (join.spatial_left_join(left, boxes, {"b": "b"}, exact=False, broadcast_bytes=n).select("id", "b") for n in (1 << 20, 0))
+    p, q = (x.select(F.col(k), "bbox.*").collect() for x, k in ((left, "id"), (boxes, "b")))
+    want = {(a["id"], b["b"]) for a in p for b in q if a["xmin"] <= b["xmax"] and b["xmin"] <= a["xmax"] and a["ymin"] <= b["ymax"] and b["ymin"] <= a["ymax"]}
+    want |= {(a["id"], None) for a in p} - {(i, None) for i, _ in want}
+    for got in (one, two):
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 450
+    assert join.spatial_left_join(left, boxes.where("false"), {"b": "b"}).where("b is null").count() == 400
+
+
+def test_spatial_join_plan(places, spark, tmp_path):
+    """An equi-join by cell, with left scanned once; exact tests over points, null geometries and repeated rows."""
+    columns.add_bbox(places).write.parquet(str(tmp_path / "p"))
+    left = spark.read.parquet(str(tmp_path / "p"))
+    left = left.union(left.where("id < 3")).union(left.limit(1).withColumn("geometry", F.lit(None).cast("binary")).withColumn("bbox", F.lit(None).cast(left.schema["bbox"].dataType)))
+    shape = "POLYGON ((-100 -40, 80 -40, 80 10, 0 10, 0 60, -100 60, -100 -40))"
+    right = spark.createDataFrame([("l", shape), ("far", "POLYGON ((170 80, 171 80, 171 81, 170 80))")], "name string, t string").select("name", udf.from_text(F.col("t")).alias("geometry"))
+    right = columns.add_bbox(right)
+    inside = {r["id"] for r in extract.extract(left, geometry=shape).collect()}
+    for n in (1 << 20, 0):
+        out = join.spatial_left_join(left, right, {"name": "name"}, broadcast_bytes=n)
+        got = out.select("id", "name").collect()
+        assert len(got) == 404 and {r["id"] for r in got if r["name"]} == inside and inside
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    one = columns.add_bbox(spark.read.parquet(str(tmp_path / "p")))
+    assert join.spatial_left_join(one, right, {"name": "name"})._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_parquet_round_trip(places, tmp_path):
@@ -124,6 +177,65 @@ def test_parquet_round_trip(places, tmp_path):
     assert cli.main(["validate", files[0]]) == 0 and cli.main(["check", files[0]]) == 0 and cli.main(["inspect", files[0]]) == 0
 
 
+def test_overwriting_the_input(places, spark, tmp_path):
+    """What is read stays until all is written; a failed write leaves it."""
+    path = str(tmp_path / "own")
+    GeoFrame(places).write(path)
+    GeoFrame.read(spark, path).add_bbox().write(path, overwrite=True)
+    assert readers.read_parquet(spark, path).count() == 400 and os.listdir(tmp_path) == ["own"]
+    with pytest.raises(FileExistsError):
+        GeoFrame(places).write(path)
+    with pytest.raises(Exception, match="no, not this"):
+        GeoFrame(places.withColumn("x", F.raise_error(F.lit("no, not this")).cast("int"))).write(path, overwrite=True)
+    assert readers.read_parquet(spark, path).count() == 400 and os.listdir(tmp_path) == ["own"]
+    GeoFrame.read(spark, path).write(str(tmp_path / "f.geojson"))
+    GeoFrame.read(spark, str(tmp_path / "f.geojson")).write(str(tmp_path / "f.geojson"), overwrite=True)
+    assert GeoFrame.read(spark, str(tmp_path / "f.geojson")).df.count() == 400
+
+
+def test_a_key_with_most_rows(places, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 50)
+    df = places.withColumn("k", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("hot"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    assert sinks.partition_by(df, str(tmp_path / "k"), "k", hive=True, force=True) == 41
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = os.listdir(tmp_path / "k" / "k=hot")
+    assert 2 <= len(hot) <= 8 and readers.read_parquet(spark, str(tmp_path / "k"), hive=True).count() == 400
+    assert sinks.partition_by(df, str(tmp_path / "k"), "k", hive=False, force=True, overwrite=True) == 41
+    assert readers.read_parquet(spark, str(tmp_path / "k")).count() == 400
+    with pytest.raises(ValueError, match="share"):
+        sinks.partition_by(df.withColumn("k", F.when(F.col("id") == 1, "a b").otherwise("a_b")), str(tmp_path / "q"), "k", force=True)
+
+
+def test_geojson_in_ranges(spark, tmp_path, monkeypatch):
+    """Features across ranges, quotes, backslashes and brackets in strings; single features; text that ends too soon."""
+    features = [{"type": "Feature", "id": i, "geometry": {"type": "Point", "coordinates": [i, -i % 7]}, "properties": {"t": "\\" * (i % 5) + '"{[' * (i % 3) + "é]}" * (i % 4), "n": {"a": [i, {"b": "}"}]}}} for i in range(300)]
+    path = tmp_path / "c.json"
+    for indent in (None, 2):
+        path.write_text(json.dumps({"type": "FeatureCollection", "meta": [{"type": "x"}], "name": '\\"[', "features": features}, indent=indent, ensure_ascii=False))
+        for size, piece in ((1 << 20, 1 << 20), (997, 101), (64, 7)):
+            monkeypatch.setattr(geojson, "RANGE", size)
+            monkeypatch.setattr(geojson, "PIECE", piece)
+            n = path.stat().st_size
+            bounds = [(a, min(a + size, n)) for a in range(0, n, size)]
+            inside = depth = 0
+            got = []
+            for a, b in bounds:
+                got += [x for x in geojson._features(str(path), a, b, n, inside, depth) if x["type"] == "Feature"]
+                odd, out, in_ = geojson._summary(str(path), a, b)
+                depth += in_ if inside else out
+                inside ^= odd
+            assert got == features and not depth and not inside
+    monkeypatch.setattr(geojson, "RANGE", 5000)
+    got = GeoFrame.read(spark, str(path)).df.select("id", "t", "n.a", udf.as_text(F.col("geometry")).alias("g")).collect()
+    assert sorted((int(r["id"]), r["t"]) for r in got) == [(f["id"], f["properties"]["t"]) for f in features]
+    (tmp_path / "one.geojson").write_text(json.dumps(features[3], indent=1))
+    assert GeoFrame.read(spark, str(tmp_path / "one.geojson")).df.count() == 1
+    path.write_text(path.read_text()[:-200])
+    with pytest.raises(Exception, match="doesn't end|Expecting"):
+        GeoFrame.read(spark, str(path)).df.count()
+
+
 def test_partitioned_layouts(places, tmp_path):
     with pytest.raises(ValueError, match="share the file"):
         sinks.partition_by(places, str(tmp_path / "x"), "kind", force=True)
