@@ -9,6 +9,7 @@ labels of its nearest neighbours are weighted by similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ TERMS = RAW_TERMS + SHAPE_TERMS
 #: Labelled texts of each label that are learnt from, at most; latent dimensions; voters.
 PER_LABEL, DIMENSIONS, VOTERS = 2000, 64, 25
 THRESHOLD = 0.7
+#: Cosines are compared and weighed in units of one part in so many, so that no rounding of a block's products shows.
+EXACT = 1 << 20
 CHUNK = 1 << 20
 
 
@@ -67,7 +70,7 @@ class Model:
     prior: float
 
     def latent(self, texts: list[bytes]) -> np.ndarray:
-        x = weigh(counts(texts), self.weight) @ self.projection
+        x = weigh(counts(texts), self.weight).astype(np.float64) @ self.projection.astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
@@ -83,10 +86,12 @@ class Model:
             total += len(texts[hi - 1])
             if hi < len(texts) and total < CHUNK and hi - lo < 256:
                 continue
-            cosine = self.latent(texts[lo:hi]) @ self.vectors.T
-            k = min(VOTERS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 8 * of[near]
+            cosine = np.rint(self.latent(texts[lo:hi]) @ self.vectors.T * EXACT)
+            k, n = min(VOTERS, cosine.shape[1]), cosine.shape[1]
+            # of equal cosines the earlier of the sample votes, whatever else is in the block
+            near = np.argpartition(np.arange(n) - cosine * n, k - 1, axis=1)[:, :k]
+            near.sort(axis=1)
+            w = np.maximum(np.take_along_axis(cosine, near, 1) / EXACT, 0) ** 8 * of[near]
             all_w = w.sum(1)
             out[lo:hi] = np.where(all_w > 1e-12, (w * self.labels[near]).sum(1) / np.maximum(all_w, 1e-12), self.prior)
             lo, total = hi, 0
@@ -134,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, lab
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(f"`{label_col}`").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # labels without a text in docs fall away in the join, so take a few more than are used
+    # labels without a text in docs fall away in the join and make the sample smaller
     some = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
@@ -145,11 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, lab
             for lo in range(0, len(b), 64):
                 part = b.iloc[lo : lo + 64]
                 x = counts([t or b"" for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [r.tobytes() for r in np.minimum(x, 60000).astype(np.float16)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [zlib.compress(r.tobytes(), 1) for r in x]})
 
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
-    got = sample.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").dropDuplicates(["doc_id"]).limit(2 * per_label).toPandas().sort_values("doc_id")
-    x = np.array([np.frombuffer(r, np.float16) for r in got["x"]], np.float32).reshape(len(got), TERMS)
+    # of several texts of one id the least counts, so that the sample is the same in every run
+    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = sample.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").limit(2 * per_label).toPandas().sort_values("doc_id")
+    x = np.array([np.frombuffer(zlib.decompress(r), np.float32) for r in got["x"]], np.float32).reshape(len(got), TERMS)
     total = sum(n.values())
     return fit(x, got["y"].to_numpy(np.int64), n.get(1, 0) / total if total else 0.5)
 
@@ -168,8 +174,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Repeated rows and null ids are kept (a null id counts as the empty text for held_out); an empty table gives an
-    empty one; only the two named columns of docs are read.  Only the sample's ids are broadcast (2 * per_label) and the
+    Repeated rows and null ids are kept (a null id counts as the empty text for held_out); null and empty texts get the
+    share of label 1; texts of any length are scored whole; of equally near voters those earlier in the sample (by doc_id)
+    vote; an empty table gives an empty one; only the two named columns of docs are read.  Only the sample's ids are broadcast (2 * per_label) and the
     model (per_label and the dimensions bound it); the texts aren't shuffled.
     """
     ship(docs.sparkSession)
