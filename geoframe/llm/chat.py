@@ -1,6 +1,6 @@
 """Operator 3 [native]: chat formatting with linked tool calls.
 
-Messages become events: calls, results and plain messages.  Calls and results are hash-joined by identifier; calls
+Messages become events: calls, results and plain messages.  Calls and results are hash-joined by conversation and identifier; calls
 are ordered topologically by what they depend on; arguments are validated against the tool's schema; every event
 is serialised as canonical JSON (keys sorted at every depth, no blanks).  One row an event, so that a
 conversation of any length is never gathered in one place; (level, turn, place) is an order in which each call stands
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, pick
+from .common import cut, drop, load, pick
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
@@ -49,24 +49,27 @@ def events(messages: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """id, level: 0 without needs, else one more than the largest level needed; calls of a cycle are missing.
+    """conv_id, id, level: 0 without needs, else one more than the largest level needed; calls of a cycle are missing.
 
-    calls: id, needs (unique ids).  A need that is no call is ignored.  A round for each level, over open calls only.
+    calls: conv_id, id, needs (ids unique in a conversation).  A need that is no call of the conversation is ignored.
+    A round for each level, over the needs that are still open only; each round's calls are cut once and read once.
     """
-    done = calls.where("size(needs) = 0").select("id", F.lit(0).alias("level"))
+    key = ["conv_id", "id"]
     bound = calls.where("size(needs) > 0")
     if bound.isEmpty():
-        return done
-    needs = cut(bound.select("id", F.explode(F.array_distinct("needs")).alias("need")).join(calls.select(F.col("id").alias("need")), "need", "left_semi"), "needs")
-    free = bound.join(needs, "id", "left_anti").select("id", F.lit(0).alias("level"))
-    done = cut(done.union(free), "levels")
-    while True:
-        left = needs.join(done.select("id"), "id", "left_anti")
-        ready = left.join(done.select(F.col("id").alias("need"), "level"), "need", "left").groupBy("id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
-        ready = cut(ready.select("id", (F.col("level") + 1).alias("level")), "levels")
-        if ready.isEmpty():
-            return done
-        done = done.union(ready)
+        return calls.select(*key, F.lit(0).alias("level"))
+    open_ = bound.select(*key, F.explode(F.array_distinct("needs")).alias("need"))
+    open_ = cut(open_.join(calls.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_semi").select(*key, "need"), "needs")
+    done = ready = cut(calls.select(*key).join(open_.select(*key), key, "left_anti").select(*key, F.lit(0).alias("level")), "levels")
+    level = 0
+    while not ready.isEmpty():
+        level += 1
+        left = cut(open_.join(ready.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_anti").select(*key, "need"), "needs")
+        # what was open before and isn't any more has its last need in the round before
+        ready = cut(open_.select(*key).distinct().join(left.select(*key), key, "left_anti").select(*key, F.lit(level).alias("level")), "levels")
+        drop(open_)
+        open_, done = left, done.union(ready)
+    return done
 
 
 def problems(schemas: DataFrame) -> DataFrame:
@@ -87,19 +90,24 @@ def _errors(value: Column, fields: Column) -> Column:
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, role, place, kind, call_id, linked, level, errors, json: a row for each event of the messages.
 
-    Of calls with one identifier (repeated rows) the first by turn and place is the one that results link to; results
-    of unknown calls, null identifiers and calls without result are not linked.  level is twice the call's
-    topological level, plus one for results; null for plain messages, unlinked results and cycles.  Null text is JSON
-    null; an empty table gives an empty one; other columns aren't read.  The first calls are made unique with partial sums
-    before the join, so that an identifier that many rows share meets one row.
+    Identifiers are those of one conversation: call_1 of another one is another call.  Of calls with one identifier
+    (repeated rows) the first by turn and place is the one that results link to; results of unknown calls, null
+    identifiers or conversations and calls without result are not linked.  level is twice the call's topological level,
+    plus one for results; null for plain messages, unlinked results and cycles.  Null text is JSON null; an empty table gives an
+    empty one; other columns aren't read; a text of any length is one row throughout.  The first calls are made unique with
+    partial sums before the join, so that an identifier that many rows share meets one row; rows without an identifier
+    aren't dealt out at all.
     """
+    key = ["conv_id", "id"]
+    whole = "conv_id is not null and id is not null"
     e = cut(events(messages), "events")
-    first = e.where("kind = 'call' and id is not null").groupBy("id").agg(F.min(F.struct("turn", "place", "needs")).alias("m")).select("id", F.col("m.needs").alias("needs"))
+    first = e.where("kind = 'call'").where(whole).groupBy(*key).agg(F.min(F.struct("turn", "place", "needs")).alias("m")).select(*key, F.col("m.needs").alias("needs"))
     first = cut(first, "calls")
-    level = first.join(levels(first), "id", "left").select("id", F.lit(True).alias("has_call"), "level")
-    answered = e.where("kind = 'result' and id is not null").groupBy("id").agg(F.lit(True).alias("has_result"))
-    ids = cut(level.join(answered, "id", "left").select("id", "has_call", "level", "has_result"), "links")
-    linked = e.join(ids, "id", "left").join(problems(schemas), "name", "left")
+    level = first.join(levels(first), key, "left").select(*key, F.lit(True).alias("has_call"), "level")
+    answered = e.where("kind = 'result'").where(whole).groupBy(*key).agg(F.lit(True).alias("has_result"))
+    ids = cut(level.join(answered, key, "left").select(*key, "has_call", "level", "has_result"), "links")
+    alone = e.where(~F.coalesce(F.expr(whole), F.lit(False)))
+    linked = e.where(whole).join(ids, key, "left").unionByName(alone, allowMissingColumns=True).join(problems(schemas), "name", "left")
     value = F.try_parse_json("arguments")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     level = F.when(is_call, F.col("level") * 2).when(is_result, F.col("level") * 2 + 1)
