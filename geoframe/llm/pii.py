@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import ROW, cut, load, ship, with_rows, with_text_ids
 
-KEY = b"geoframe-surrogates"
+#: For the query over made-up tables only: whoever knows a key can tell surrogates from it.
+DEMO_KEY = b"geoframe-surrogates"
 #: Values with a second try that may be broadcast; more are joined to their documents.
 BROADCAST_VALUES = 100_000
 TRIES = 64
@@ -35,15 +36,15 @@ NAMES = {
     ("greek", "f"): "Άννα Ελένη Ειρήνη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Παύλος Σπύρος".split(),
 }
-FAMILIES = {
-    "latin": "Abbott Baker Becker Brandt Carter Castro Dalton Dupont Ellis Ferrer Fischer Fuchs Garner Girard Harper Herrera Jensen Keller Kramer Lambert Lange Larsen Leclerc Lopez Mercer Moreau Navarro Nolan Ortega Palmer Petit Porter Ramos Richter Romero Sander Torres Turner Vidal Weber".split(),
-    "cyrillic": "Беляев Волков Гусев Зайцев Козлов Лебедев Морозов Орлов Соколов Фролов".split(),
-    "greek": "Αγγέλου Βασιλείου Γεωργίου Δήμου Ιωάννου Λάμπρου Νικολάου Παππάς".split(),
+# Surrogate names are put together of these, by script: beginnings of syllables, vowels, endings by gender and of families.
+SYLLABLES = {
+    "latin": ("b br c d dr f g gr h j k l m n p r s st t tr v w", "a e i o u", {"f": "a ana ena ia ina elle", "m": "an en er in on us", "": "berg er ett man son well"}),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф", "а е и о у", {"f": "а ина ена ия", "m": "ан ен ин ор", "": "ев ин ов ский"}),
+    "greek": ("β γ δ θ κ λ μ ν π ρ σ τ φ", "α ε ι ο", {"f": "α ινα ενη ια", "m": "ος ης ας", "": "ιδης ακης ου"}),
 }
 _GENDER = {n.casefold(): (script, g) for (script, g), names in NAMES.items() for n in names}
 _TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "señora": "f", "dr": "", "prof": ""}
 # What is looked for (fixed values).  Each search starts from a rare kind of character: @, a run of digits, a capital.
-_LOCAL = re.compile(r"[\w.+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _RUN = re.compile(r"[0-9+(][0-9 .()+-]{5,}[0-9]")
 _NUMBER = re.compile(
@@ -53,9 +54,12 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: What stands before a name that its owner gives.
+_CUE = re.compile(r"(?<!\w)(?i:my name is|name:|dear|signed,|regards,|sincerely,|attn:?|contact:?|je m.appelle|ich heiße|me llamo)[ \n]{1,2}")
 _CAPS = "A-ZÀ-ÖØ-ÞΆΈ-ΏΑ-ΫА-ЯЁ"
 _BEFORE_CAPITAL = re.compile(rf"([{_CAPS}]\w*)\.? (?=[{_CAPS}])")
 _PERSON = re.compile(rf"[{_CAPS}][\w’'-]*\w(?: [{_CAPS}][\w’'-]*\w)?")
+_CAPITALISED = re.compile(rf"(?<![\w’'-])[{_CAPS}][\w’'-]*\w")
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -72,12 +76,17 @@ def script_of(word: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, normal form) of the entities of a text, in order, in code points.
 
+    Persons are found by a title, by a given name of the list before another capitalised word and by words with which
+    people give their names; a name found so is then found in the whole text, on its own, too.  Other persons aren't found.
     Of entities that overlap the one that starts first stays, of those the longer.
     """
     out: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        local = _LOCAL.search(text[max(0, at - 64) : at])[0].lstrip(".+-_")
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        local = text[start:at].lstrip(".+-_")
         domain = _DOMAIN.match(text, at + 1)
         if local and domain:
             out.append((at - len(local), domain.end(), "email", normal("email", f"{local}@{domain[0]}")))
@@ -95,6 +104,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             person = _PERSON.match(text, m.end() if word in _TITLES else m.start())
             if person:
                 out += _person(person[0], person.start(), _TITLES.get(word, ""))
+    for m in _CUE.finditer(text):
+        person = _PERSON.match(text, m.end())
+        if person and " " in person[0]:
+            out += _person(person[0], person.start(), "")
+    names = {}
+    for a, b, kind, norm in out:
+        if kind in ("given", "family"):
+            names.setdefault(text[a:b].casefold(), (kind, norm))
+    if names:
+        out += [(m.start(), m.end(), *names[w]) for m in _CAPITALISED.finditer(text) if (w := m[0].casefold()) in names]
     if len(out) < 2:
         return out
     kept: list[tuple[int, int, str, str]] = []
@@ -150,10 +169,9 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + next(s) % 254) for _ in range(4))
     if kind == "given":
-        g, word = norm[0], norm[2:]
-        return _pick(NAMES[script_of(word), g], s, attempt, f"{g}:")
+        return f"{norm[0]}:{_name(norm[2:], norm[0], s, attempt)}"
     if kind == "family":
-        return _pick(FAMILIES[script_of(norm)], s, attempt, "")
+        return _name(norm, "", s, attempt)
     if kind == "iban":
         return norm[:2] + _same_shape(norm[2:], s)
     out = _same_shape(norm, s)
@@ -162,10 +180,12 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
     return out
 
 
-def _pick(names: list[str], s: Iterator[int], attempt: int, before: str) -> str:
-    """A name of the list; later tries join two, then three, so that there are always enough."""
-    words = [names[(next(s) << 8 | next(s)) % len(names)] for _ in range(1 + attempt // 4)]
-    return before + "-".join(words).casefold()
+def _name(word: str, gender: str, s: Iterator[int], attempt: int) -> str:
+    """As many parts, joined by a hyphen, as the name has; later tries take longer ones, so that there are always enough."""
+    starts, vowels, ends = SYLLABLES[script_of(word)]
+    starts, vowels, ends = starts.split(), vowels.split(), ends[gender].split()
+    take = lambda of: of[(next(s) << 8 | next(s)) % len(of)]
+    return "-".join("".join(take(starts) + take(vowels) for _ in range(1 + attempt // 4)) + take(starts) + take(ends) for _ in word.split("-"))
 
 
 def render(kind: str, value: str, norm: str, new: str) -> str:
@@ -217,7 +237,7 @@ def entities(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInPandas(run, "kind string, norm string").distinct()
 
 
-def second_tries(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def second_tries(found: DataFrame, key: bytes) -> DataFrame:
     """kind, norm, attempt (over 0) of the values whose first surrogates clash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,11 +260,11 @@ def second_tries(found: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still clash after {TRIES} tries")
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, spans (start:stop:kind in the old text) for every row of docs.
 
-    Null text stays null, without entities; repeated rows get equal results; an empty table gives an empty one; other
-    columns aren't read.
+    Null text stays null, without entities; repeated rows get equal results; an empty table gives an empty one; texts of any
+    length are read whole; other columns aren't read.  key is secret: it decides all surrogates.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -282,4 +302,4 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, id_col: str = "doc_id", t
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    return pseudonymise(load(spark, sf_dir, "documents"))
+    return pseudonymise(load(spark, sf_dir, "documents"), key=DEMO_KEY)

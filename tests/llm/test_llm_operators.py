@@ -188,11 +188,69 @@ def test_decontamination(spark, docs, empty):
     texts = ["We read: a farmer sells 7 apples to Carol for 55 dollars and keeps the rest for the winter market day.", "a farmer sells 7 apples to Carol for 7 dollars and keeps", "here is a short item of words", "an unrelated text about a farmer who sells 12 apples", None, ""]
     d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, words int")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, bench).collect()}
-    assert (0, 1) in found and (0, 2) not in found and {x for x, _ in found} <= {0, 1}
+    assert (0, 1) in found and (2, 2) in found and (0, 2) not in found and {x for x, _ in found} <= {0, 1, 2}
     assert decontaminate.leaks(docs, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(d, bench.where("false")).count() == 0
 
 
+def brute_template(text):
+    """(bare word, kind) of every word: w word, n number, u unit, p name."""
+    out, before, opens = [], "", True
+    for raw in (text or "").split():
+        bare = raw.strip(".,;:!?\"'()[]{}<>*_`|#$%&~") or raw.strip(".,;:!?") or raw
+        low = bare.lower()
+        number = re.fullmatch(r"[^a-zA-Z]*\d[^a-zA-Z]*[a-zA-Z%]*", bare) or low in decontaminate.NUMBER_WORDS
+        kind = "n" if number else "u" if low in decontaminate.UNITS and before == "n" else "p" if re.fullmatch("[A-Z][a-z]+", bare) and not opens else "w"
+        out.append((low, kind))
+        before, opens = kind, raw.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
+    return out
+
+
+def brute_leaks(text, item, short=True):
+    """Share of the item's words that consistent alignments cover."""
+    d, it = brute_template(text), brute_template(item)
+    n = min(8, len(it))
+    if not n or not d or (len(it) < 3 and len(d) != len(it)):
+        return 0.0
+    mask = lambda w: tuple(x if k == "w" else f"<{k}>" for x, k in w)
+    covered = set()
+    for shift in range(-len(it), len(d)):
+        at, pairs = [], set()
+        for i in range(len(it) - n + 1):
+            if not 0 <= i + shift <= len(d) - n:
+                continue
+            a, b = it[i : i + n], d[i + shift : i + shift + n]
+            full = [n == 8 and sum(k == "w" for _, k in w) >= 4 for w in (a, b)]
+            if all(full) and mask(a) == mask(b):
+                at.append(i)
+                pairs |= {(x[0], y[0]) for x, y in zip(a, b) if x[1] != "w"}
+            elif not any(full) and [x for x, _ in a] == [x for x, _ in b]:
+                at.append(i)
+        if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+            covered |= {j for i in at for j in range(i, i + n)}
+    return len(covered) / len(it)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(8)
+    words = "a farmer sells apples near the river and keeps what is left for market".split()
+    values = ["12", "7.5", "Bob", "Carol", "three", "30 dollars", "4 kg", "Aisha", "end.", "kg"]
+    word = lambda: r.choice(values) if r.random() < 0.35 else r.choice(words)
+    items = [" ".join(word() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 20]))) for _ in range(25)] + ["12 7.5 30 Bob 4 9 3 Carol 12 7.5", None, ""]
+    texts = []
+    for _ in range(120):
+        item = (r.choice(items) or "x").split()
+        change = r.choice([{}, {"12": "99", "Bob": "Zoe"}, {"12": "7.5"}])
+        item = [change.get(w, w) for w in item][r.choice([0, 0, 1]) :]
+        texts.append(" ".join([*(word() for _ in range(r.randint(0, 10))), *item, *(word() for _ in range(r.randint(0, 10)))]))
+    texts += [items[0], "12 7.5 30 Bob 4 9 3 Carol 12 7.5", None, "", texts[0], " ".join(word() for _ in range(3000))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, pos int")
+    got = {(x["doc_id"], x["item_id"]): round(x["coverage"], 9) for x in decontaminate.leaks(docs, bench).collect()}
+    want = {(i, j): round(c, 9) for i, t in enumerate(texts) for j, item in enumerate(items) if (c := brute_leaks(t, item)) >= 0.5}
+    assert got == want and len(want) > 40
+
+
 def test_slots_must_be_consistent(spark):
     bench = spark.createDataFrame([(1, "add 3 and 3 to the total that stands in the book of sums")], "item_id long, text string")
     d = spark.createDataFrame([(0, "add 5 and 5 to the total that stands in the book of sums"), (1, "add 5 and 6 to the total that")], "doc_id long, text string")
@@ -214,6 +272,27 @@ def test_quality(spark, empty):
     assert {x["score"] for x in quality.classify(d, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_votes_against_brute_force(spark):
+    """The vote of the nearest by cosine, over all of the sample, ties to the earlier; the same for repeated texts and any blocks."""
+    r = random.Random(7)
+    text = lambda k: "".join(r.choice("abc XYZ$%" if k else "defg hij.,") for _ in range(r.randint(0, 120)))
+    rows = [(i, text(i % 2)) for i in range(240)] + [(i, "same text in all of these rows") for i in range(240, 300)] + [(3, text(0)), (900, "z" * 300_000), (901, None), (902, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(280)], "doc_id long, quality int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(d, labels, per_label=60)
+    again = quality.train(d.repartition(3), labels, per_label=60)
+    assert np.array_equal(model.vectors, again.vectors) and len(model.labels) == 120
+    got = Counter((x["doc_id"], x["score"]) for x in quality.score(d, model).collect())
+    want = Counter()
+    for i, t in rows:
+        v = model.latent([(t or "").encode()])[0]
+        cosine = [round(float(np.dot(v, w.astype(float))) * quality.EXACT) for w in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda j: (-cosine[j], j))[: quality.VOTERS]
+        weight = [max(cosine[j] / quality.EXACT, 0) ** 8 * (model.prior / model.labels.mean() if model.labels[j] else (1 - model.prior) / (1 - model.labels.mean())) for j in near]
+        want[i, sum(w for w, j in zip(weight, near) if model.labels[j]) / sum(weight) if sum(weight) > 1e-12 else model.prior] += 1
+    assert len(got) == len(want) and all(abs(a - b) < 1e-9 and i == j for (i, a), (j, b) in zip(sorted(got.elements()), sorted(want.elements())))
+
+
 def test_labels_are_not_learnt_from_held_out_rows(spark):
     d = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
     held = [r["doc_id"] for r in d.where(quality.held_out(F.col("doc_id"))).collect()]
@@ -241,6 +320,41 @@ def test_chat(spark):
     assert len(got) == 12
 
 
+def test_chat_ids_are_those_of_a_conversation(spark, empty):
+    """call_0 of two conversations, chains of calls, a text of a million characters; against a brute force."""
+    r = random.Random(9)
+    call = lambda i, needs: {"id": f"call_{i}", "name": "add", "arguments": {"a": i}, "depends_on": [f"call_{n}" for n in needs]}
+    rows, needs_of, answered = [], {}, set()
+    for c in range(12):
+        for i in range(8):
+            needs_of[c, i] = [n for n in range(10) if n != i and r.random() < 0.15]
+            rows.append((c, i, "assistant", json.dumps({"tool_calls": [call(i, needs_of[c, i])]})))
+            if r.random() < 0.5:
+                answered.add((c, i))
+                rows.append((c, 20 + i, "tool", json.dumps({"tool_call_id": f"call_{i}", "content": "x" * 10})))
+    rows += [(99, 0, "tool", '{"tool_call_id": "call_0", "content": "of nobody"}'), (99, 1, "system", "y" * 1_000_000), (None, 0, "tool", '{"tool_call_id": "call_0", "content": "of no conversation"}')]
+
+    def level(c, i, path=()):
+        if i in path:
+            return None
+        found = [level(c, n, (*path, i)) for n in needs_of[c, i] if (c, n) in needs_of]
+        return None if None in found else 1 + max(found, default=-1)
+
+    schemas = spark.createDataFrame([("add", "a", "BIGINT", True)], chat.SCHEMA)
+    d = spark.createDataFrame([(*x, "z") for x in rows], "conv_id long, turn long, role string, text string, needs string")
+    got = chat.link(d, schemas).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        key = (x["conv_id"], int(x["call_id"][5:])) if x["call_id"] else None
+        if x["kind"] == "call":
+            want = level(*key)
+            assert x["linked"] == (key in answered) and x["level"] == (None if want is None else 2 * want) and x["errors"] == ""
+        elif x["kind"] == "result":
+            assert x["linked"] == (key in needs_of)
+    assert max(x["level"] or 0 for x in got) >= 4
+    assert chat.link(d.where("false"), schemas).count() == 0
+
+
 def brute_secrets(text):
     out = []
     for kind, pattern, group, least in (("assign", r"""(?a:((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24)):
@@ -269,10 +383,13 @@ def test_secrets_of_long_texts_and_copied_examples(spark):
     assert [got[i]["n"] for i in range(1, 10)] == [0] * 7 + [1, 1]
 
 
+KEY = b"a key of the tests"
+
+
 def test_pii(spark, empty):
     text = "Mr. John Smith (john.smith@mail.example.com, JOHN.SMITH@mail.example.com) rang +1 (212) 555-1234 or 212-555-1234. Mrs Smith: 4111 1111 1111 1111, 10.20.30.40. Иван Петров."
     d = spark.createDataFrame([(1, text, 0), (2, text + " jane@mail.example.com", 0), (3, None, 0), (4, "", 0), (5, "nothing here at all", 0)], "doc_id long, text string, spans int")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(d).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(d, key=KEY).collect()}
     new = got[1]["text"]
     assert not any(v in new for v in ("John", "Smith", "john", "555-1234", "4111", "10.20.30.40", "Иван"))
     phones = [re.sub(r"\D", "", p)[-10:] for p in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}", new)]
@@ -283,17 +400,36 @@ def test_pii(spark, empty):
     assert mail[1] == mail[2].lower() and mail[1].endswith(".com")
     assert pii.luhn(re.sub(" ", "", re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0]))
     assert got[2]["text"].startswith(new) and got[3]["text"] is None and got[5]["text"] == "nothing here at all" and got[4]["n_entities"] == 0
-    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(d, broadcast_values=-1).collect()} == {i: r["text"] for i, r in got.items()}
-    assert pii.pseudonymise(empty).count() == 0
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(d, key=KEY, broadcast_values=-1).collect()} == {i: r["text"] for i, r in got.items()}
+    assert pii.pseudonymise(empty, key=KEY).count() == 0
 
 
 def test_pii_surrogates_are_distinct(spark):
-    """More names than surrogates of one word: later tries join several."""
-    names = [f"name{i}" for i in range(150)]
-    found = spark.createDataFrame([("family", n) for n in names] + [("family", n.casefold()) for n in pii.FAMILIES["latin"]], "kind string, norm string").distinct()
-    tries = {r["norm"]: r["attempt"] for r in pii.second_tries(found).collect()}
-    new = [pii.surrogate(pii.KEY, "family", r["norm"], tries.get(r["norm"], 0)) for r in found.collect()]
-    assert len(set(new)) == len(new) and not set(new) & {r["norm"] for r in found.collect()}
+    """Every value of a corpus has one surrogate, whatever its format, and no two have the same one or one of the corpus."""
+    r = random.Random(6)
+    syllable = lambda: r.choice("bdfgklmnprst") + r.choice("aeiou")
+    people = [(r.choice(["Anna", "John", "Maria", "Ivan"]), (syllable() + syllable() + "n").capitalize()) for _ in range(200)]
+    rows, parts = [], []
+    for i in range(400):
+        given, family = r.choice(people)
+        email, phone = f"{given}.{family}@{r.choice(['a', 'b'])}.example.org", f"555-{r.randint(1000, 1050)}"
+        parts.append([("given", given), ("family", family), ("email", email), ("given", given), ("family", family), ("family", family.upper()), ("given", given), ("phone", f"212-{phone}"), ("phone", f"(212) {phone}")])
+        rows.append((i, f"Dr. {given} {family}\t{email.upper() if i % 2 else email}\tand then {given} {family}\tor {family.upper()}\t{given}\tat 212-{phone}\tor (212) {phone}\t"))
+    rows.append((400, "x" * 80 + "@example.org"))
+    new = {x["doc_id"]: x["text"] for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key=KEY).collect()}
+    assert "xx" not in new[400]
+    pairs = {}
+    for i, part in enumerate(parts):
+        got = re.fullmatch(r"Dr\. (\S+) (\S+)\t(\S+)\tand then (\S+) (\S+)\tor (\S+)\t(\S+)\tat (\S+)\tor (\(\d+\) \S+)\t", new[i])
+        assert got and got[6].isupper() and re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[8]) and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", got[9])
+        for (kind, old), surrogate in zip(part, got.groups()):
+            plain = lambda v: re.sub(r"\D", "", v) if kind == "phone" else v.casefold()
+            pairs.setdefault((kind, plain(old)), set()).add(plain(surrogate))
+    assert all(len(v) == 1 for v in pairs.values())
+    for kind in ("given", "family", "email", "phone"):
+        mine = {old: v for (k, old), v in pairs.items() if k == kind}
+        out = [x for v in mine.values() for x in v]
+        assert len(out) == len(set(out)) and not set(out) & set(mine), kind
 
 
 def test_neighbours(spark, empty):
