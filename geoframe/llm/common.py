@@ -96,6 +96,15 @@ def with_rows(df: DataFrame, **names: str) -> DataFrame:
         return take(cut(df, "rows"))
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if its rows can be told by file and place, else a cut of it."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+        return df
+    except AnalysisException:
+        return cut(df, "rows")
+
+
 def release() -> None:
     """Give freed memory back at the end of a task: Python workers live on beside the tasks of later stages."""
     pa.default_memory_pool().release_unused()
