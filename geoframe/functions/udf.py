@@ -172,6 +172,31 @@ def intersects(a: Column, b: Column) -> Column:
     return _call(_intersects, a, b)
 
 
+FACTS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("oriented", T.BooleanType()), T.StructField("envelope", ENVELOPE)])
+
+
+@pandas_udf(FACTS)
+def _facts(values: pd.Series) -> pd.DataFrame:
+    out = []
+    for v in values:
+        try:
+            g = None if v is None else wkb.parse(v)
+        except wkb.BadGeometry:
+            g = None
+        if g is None:
+            out.append((None, None, None))
+            continue
+        turns = [(wkb._ring_area(r)[0] > 0) == (i == 0) for p in g.leaves() if p.kind == 3 for i, r in enumerate(p.body)]
+        e = wkb.envelope(g)
+        out.append((wkb.GEOJSON[g.kind] + (" Z" if g.dims > 2 and not g.m else ""), all(turns), e and dict(zip(("xmin", "ymin", "xmax", "ymax"), map(float, e)))))
+    return pd.DataFrame(out, columns=["kind", "oriented", "envelope"], dtype="object")
+
+
+def facts(g: Column) -> Column:
+    """Type as the metadata names it, whether outer rings turn counterclockwise and holes against, envelope; nulls if it can't be read."""
+    return _call(_facts, g)
+
+
 def intersects_some(g: Column, others: Column, shared=None) -> Column:
     """For each of others, whether g intersects it: an array of WKB or, with shared (a broadcast list of WKB), of places in that.
 

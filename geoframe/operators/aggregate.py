@@ -93,8 +93,25 @@ def analyze_partitions(df: DataFrame, column: str, prefix: int | None = None, by
         report.warnings.append(f"{s['avg_rows']:.0f} rows a partition")
     if n > 1 and s["max_rows"] > 0.5 * s["total_rows"]:
         report.warnings.append("one partition holds over half of the rows")
-    if n == 1:
-        report.recommendations.append("a single value: another column or a longer prefix splits better")
-    if report.errors and prefix:
-        report.recommendations.append(f"try a prefix of {max(1, prefix - 1) if n > WARN_PARTITIONS else prefix + 1} characters")
+    report.recommendations += advice(n, s["total_rows"], s["avg_rows"], s["max_rows"], imbalance, prefix is not None)
     return report
+
+
+#: Thresholds of the advice (fixed values): small tables, many and small partitions, large ones, sensible numbers.
+FEW_ROWS, MANY, SMALL, LARGE, LARGEST, UNEVEN, MILLION, FEW, TOO_MANY = 1000, 1000, 10_000, 1_000_000, 10_000_000, 5, 1_000_000, 5, 5000
+SENSIBLE, SENSIBLE_ROWS = (10, 500), (10_000, 5_000_000)
+
+
+def advice(n: int, rows: int, mean: float, most: int, imbalance: float, by_prefix: bool) -> list[str]:
+    """What to do about n partitions with so many rows in all, on average and at most."""
+    if rows < FEW_ROWS:
+        return [f"{rows} rows are too few to be partitioned: one file is better"]
+    found = {
+        "leave it in one file with an envelope column: these would be many small ones": n > MANY and mean < SMALL,
+        "a longer prefix or more levels: these partitions are large": by_prefix and mean > LARGE,
+        "partition by a coarser key first: the largest partition is large and far above the others": most > LARGEST and imbalance > UNEVEN,
+        f"sensible: {n} partitions of about {mean:.0f} rows": SENSIBLE[0] <= n <= SENSIBLE[1] and SENSIBLE_ROWS[0] <= mean <= SENSIBLE_ROWS[1],
+        f"a finer key: {n} partitions are few for {rows} rows": n < FEW and rows > MILLION,
+        "partition by a coarser key first: these are too many at one level": n > TOO_MANY,
+    }
+    return [text for text, holds in found.items() if holds]

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf, wkb
 from ..operators.extract import geometry_column
+from . import metadata
 
 
 @dataclass
@@ -122,3 +123,64 @@ def check_bbox(info: dict) -> CheckResult:
     elif box:
         bad.append("an envelope column isn't needed from version 2 on")
     return CheckResult("envelope", not bad, bad, details={"bbox_column": box})
+
+
+def check_info(info: dict) -> list[CheckResult]:
+    """All checks of one file that its footer can tell."""
+    geometry = (info["geo"] or {}).get("primary_column") or next(iter(info["native"]), "geometry")
+    found = [check_row_groups(info), check_compression(info, geometry)]
+    if metadata.file_kind(info) == "native":
+        box = info["bbox_column"]
+        return [*found, CheckResult("envelope", not box, [f"{box} isn't needed beside native geometry types"] if box else [], details={"bbox_column": box})]
+    return [*found, check_bbox(info)]
+
+
+def check_path(spark: SparkSession, path: str, *, files: int | None = None) -> list[CheckResult]:
+    """The checks over all files of path (or the first so many): passed if all pass, with each file's failures."""
+    from ..sources import readers
+
+    paths = [p for p, _ in readers.files_of(spark, path)][:files]
+    if not paths:
+        raise FileNotFoundError(f"no Parquet file in {path}")
+    merged: dict[str, CheckResult] = {}
+    for p in paths:
+        for c in check_info(metadata.file_info(p)):
+            m = merged.setdefault(c.name, CheckResult(c.name, True, details={"files": 0}))
+            m.passed &= c.passed
+            m.failures += [f"{p}: {x}" for x in c.failures]
+            m.warnings += [f"{p}: {x}" for x in c.warnings]
+            m.recommendations += [x for x in c.recommendations if x not in m.recommendations]
+            m.details["files"] += 1
+    return list(merged.values())
+
+
+def validate_data(df: DataFrame, info: dict) -> list[tuple[str, bool, str]]:
+    """(rule, kept, what is wrong) of the geometries themselves against the metadata, in one aggregate over all rows."""
+    geo = info["geo"] or {}
+    name = geo.get("primary_column") or geometry_column(df)
+    told = geo.get("columns", {}).get(name, {})
+    g = F.col(f"`{name}`")
+    f = df.select(g.alias("g"), udf.facts(g).alias("f"))
+    e = F.col("f.envelope")
+    got = f.agg(
+        F.count("g").alias("n"),
+        F.count_if(F.col("g").isNotNull() & F.col("f.kind").isNull()).alias("bad"),
+        F.collect_set("f.kind").alias("kinds"),
+        F.count_if(~F.col("f.oriented")).alias("turned"),
+        *[(F.min if k.endswith("min") else F.max)(e[k]).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")],
+    ).first()
+    out = [("well-formed", not got["bad"], f"{got['bad']} of {got['n']} geometries can't be read" if got["bad"] else "")]
+    types = told.get("geometry_types")
+    extra = sorted(set(got["kinds"]) - set(types or got["kinds"]))
+    out.append(("geometry types", not extra, f"not declared: {', '.join(extra)}" if extra else ""))
+    if told.get("orientation"):
+        out.append(("orientation", not got["turned"], f"{got['turned']} polygons are turned" if got["turned"] else ""))
+    box = told.get("bbox")
+    if box and got["xmin"] is not None:
+        x0, y0, x1, y1 = box if len(box) == 4 else (box[0], box[1], box[3], box[4])
+        within = (x0 <= got["xmin"] or x0 > x1) and y0 <= got["ymin"] and (got["xmax"] <= x1 or x0 > x1) and got["ymax"] <= y1
+        out.append(("bounds", within, "" if within else f"geometries reach {got['xmin']}, {got['ymin']}, {got['xmax']}, {got['ymax']}"))
+    if got["xmin"] is not None and metadata.is_geographic(told.get("crs")):
+        small = -360 <= got["xmin"] and got["xmax"] <= 360 and -90 <= got["ymin"] and got["ymax"] <= 90
+        out.append(("coordinates are degrees", small, "" if small else "they lie beyond those of longitude and latitude"))
+    return out

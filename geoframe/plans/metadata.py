@@ -6,10 +6,11 @@ import json
 import os
 import re
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 
-from ..functions import expr
+from ..functions import expr, native
 
 #: Format versions and what their files carry (fixed values).
 VERSIONS = {"1.0": "1.0.0", "1.1": "1.1.0", "2.0": "2.0.0"}
@@ -42,7 +43,7 @@ def file_info(path: str) -> dict:
     boxes = [x.name for x in f.schema_arrow if re.search("(bbox|bounds|extent)$", x.name.lower()) and x.type.num_fields == 4 and {x.type.field(i).name for i in range(4)} == set(expr.BBOX_FIELDS)]
     raw = (m.metadata or {}).get(b"geo")
     size = sum(m.row_group(g).total_byte_size for g in range(m.num_row_groups))
-    return {"path": path, "rows": m.num_rows, "row_groups": m.num_row_groups, "size": os.path.getsize(path) if os.path.exists(path) else size, "codecs": codecs, "bbox_column": boxes[0] if boxes else None, "geo": json.loads(raw) if raw else None, "created_by": m.created_by, "columns": {x.name: str(x.type) for x in f.schema_arrow}}
+    return {"native": native.columns(f), "path": path, "rows": m.num_rows, "row_groups": m.num_row_groups, "size": os.path.getsize(path) if os.path.exists(path) else size, "codecs": codecs, "bbox_column": boxes[0] if boxes else None, "geo": json.loads(raw) if raw else None, "created_by": m.created_by, "columns": {x.name: "binary" if isinstance(x.type, pa.BaseExtensionType) else str(x.type) for x in f.schema_arrow}}
 
 
 def row_group_bounds(path: str, bbox_column: str = "bbox") -> list[dict]:
@@ -118,6 +119,13 @@ def crs_code(crs) -> str:
     return f"{m[1]}:{m[2]}".upper() if m else str(crs).upper()
 
 
+def named_crs(code: str) -> dict:
+    """The least that the metadata needs to name a system."""
+    authority, _, number = crs_code(code).partition(":")
+    kind = is_geographic(code)
+    return {"type": "GeographicCRS" if kind else "ProjectedCRS", "name": crs_code(code), "id": {"authority": authority, "code": int(number) if number.isdigit() else number}}
+
+
 def is_geographic(crs) -> bool | None:
     """True or False where known, None where not."""
     if isinstance(crs, dict) and "type" in crs:
@@ -133,26 +141,56 @@ def same_crs(a, b) -> bool:
 
 
 def file_kind(info: dict) -> str:
-    """v1, v2 or unknown, by the metadata."""
+    """v1, v2, native (geometry types without metadata) or unknown."""
+    if not info["geo"] and info.get("native"):
+        return "native"
     version = str((info["geo"] or {}).get("version", ""))
     return "v1" if version.startswith("1.") else "v2" if version.startswith("2.") else "unknown"
 
 
+def mismatches(info: dict) -> list[str]:
+    """Where a native geometry type and the `geo` metadata of one column tell different things."""
+    out = []
+    described = (info["geo"] or {}).get("columns", {})
+    for name, own in info.get("native", {}).items():
+        told = described.get(name)
+        if told is None:
+            continue
+        if own["crs"] and not told.get("crs"):
+            out.append(f"{name}: the type names {crs_code(own['crs'])}, the metadata no reference system")
+        elif own["crs"] and not same_crs(own["crs"], told["crs"]):
+            out.append(f"{name}: the type names {crs_code(own['crs'])}, the metadata {crs_code(told['crs'])}")
+        if own["edges"] and told.get("edges") and own["edges"].lower() != told["edges"].lower():
+            out.append(f"{name}: edges are {own['edges']} by type and {told['edges']} by metadata")
+    return out
+
+
+#: Bytes by suffix of a size; none is megabytes.
+SUFFIXES = {suffix: 1024**power for power, unit in enumerate(["", "K", "M", "G", "T"]) for suffix in ((unit, f"{unit}B") if unit else ("B",))} | {"": 1024**2}
+
+
 def parse_size(text: str | int | float) -> int:
     """256MB and the like, in bytes; a bare number is MB."""
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([KMGT]?B?)\s*", str(text), re.IGNORECASE)
-    if not m or float(m[1]) <= 0:
+    given = str(text).strip().upper()
+    number = given.rstrip("BKMGT").rstrip()
+    suffix = given[len(number) :].strip()
+    try:
+        size = float(number) * SUFFIXES[suffix]
+    except (ValueError, KeyError):
+        raise ValueError(f"not a size: {text!r}") from None
+    if not 0 < size < float("inf"):
         raise ValueError(f"not a size: {text!r}")
-    unit = (m[2].upper().rstrip("B") or ("M" if not m[2] else ""))
-    return int(float(m[1]) * {"": 1, "K": 2**10, "M": 2**20, "G": 2**30, "T": 2**40}[unit])
+    return int(size)
 
 
 def row_group_rows(rows: int, size: int, *, target_mb: float | None = None, target_rows: int | None = None) -> int:
-    """Rows of a row group: as told, or so that it has the target size."""
+    """Rows of a row group: as told, or as many as fill the target at this table's bytes a row."""
     if target_rows:
-        return max(1, min(target_rows, rows or target_rows))
-    target = (target_mb or 130) * 2**20
-    return max(1, int(rows * min(1.0, target / size))) if rows and size else 100_000
+        return max(1, min(target_rows, rows) if rows else target_rows)
+    if not rows or not size:
+        return 100_000
+    a_row = size / rows
+    return min(rows, max(1, int((target_mb or 130) * SUFFIXES["M"] / a_row)))
 
 
 def compression(codec: str = "ZSTD", level: int | None = None) -> tuple[str, int | None]:
@@ -204,6 +242,29 @@ def validate(info: dict) -> list[tuple[str, bool, str]]:
             first = {tuple(v)[0] for v in cover.values() if isinstance(v, list) and len(v) == 2}
             rule(f"{name}: covering", set(expr.BBOX_FIELDS) <= set(cover) and len(first) == 1, "covering.bbox must name the four fields of one column")
             rule(f"{name}: covering column", first and next(iter(first)) in info["columns"], "the covering column isn't in the file")
+            kind = info["columns"].get(next(iter(first), None), "") if first else ""
+            fields = dict(re.findall(r"(\w+): (\w+)", kind))
+            rule(f"{name}: covering fields", kind.startswith("struct") and all(fields.get(n) in ("double", "float") for n in expr.BBOX_FIELDS) and len(set(fields.values())) == 1, f"the covering column is {kind}")
+            rule(f"{name}: covering from 1.1 on", not str(meta.get("version")).startswith("1.0"), "version 1.0 has no covering")
+    if str(meta.get("version")).startswith("2."):
+        for name in columns:
+            rule(f"{name}: native type", name in info.get("native", {}), "version 2 needs a native geometry type")
+        for why in mismatches(info):
+            rule("type and metadata agree", False, why)
+    return out
+
+
+def validate_native(path: str) -> list[tuple[str, bool, str]]:
+    """(rule, kept, what is wrong) of a file's native geometry types: there are some, with bounds in each row group."""
+    with open_footer(path) as f:
+        found = native.columns(f)
+        out = [("native geometry type", bool(found), "" if found else "no column has one")]
+        for name, c in found.items():
+            groups = native.bounds(f, name)
+            whole = len(groups) == f.metadata.num_row_groups
+            out.append((f"{name}: bounds of row groups", whole, "" if whole else f"{len(groups)} of {f.metadata.num_row_groups} row groups have them"))
+            known = c["crs"] is None or isinstance(c["crs"], dict) or ":" in str(c["crs"])
+            out.append((f"{name}: reference system", known, "" if known else f"crs {c['crs']}"))
     return out
 
 

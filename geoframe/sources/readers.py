@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sqlite3
+import warnings
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions import udf
+from ..functions import native, udf
+from ..plans.metadata import open_footer
 from . import geojson
 
 #: Column names that hold geometries or coordinates (fixed values, in order of preference).
@@ -28,7 +33,74 @@ def read_parquet(spark: SparkSession, path: str, *, allow_schema_diff: bool = Fa
         has_keys = any("=" in d for d in os.listdir(path))
         if hive is False or not has_keys:
             reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return reader.parquet(path)
+    try:
+        return reader.parquet(path)
+    except Exception as e:
+        if "PARQUET_TYPE_ILLEGAL" not in str(e) or "GEO" not in str(e):
+            raise
+    # native geometries: Spark reads them as bytes if it is told so
+    with open_footer(first_file(spark, path)) as f:
+        fields = [pa.field(x.name, x.type.storage_type if isinstance(x.type, pa.BaseExtensionType) else x.type) for x in f.schema_arrow]
+    return reader.schema(from_arrow_schema(pa.schema(fields))).parquet(path)
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the Parquet files of a file, folder, glob or tree, in order, as Spark lists them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length").collect()
+    return sorted((re.sub("^file:/+", "/", r["path"]), r["length"]) for r in found)
+
+
+def first_file(spark: SparkSession, path: str) -> str:
+    files = files_of(spark, path)
+    if not files:
+        raise FileNotFoundError(f"no Parquet file in {path}")
+    return files[0][0]
+
+
+def single_file(path: str, verb: str) -> str:
+    """The path, if it is that of one file."""
+    if is_tree(path):
+        raise ValueError(f"{verb} works on one file, not on {path}; extract it into one first")
+    return path
+
+
+def crs_of(spark: SparkSession, path: str):
+    """The reference system that a file of any of the formats names; None where it names none."""
+    kind = os.path.splitext(path.rstrip("/"))[1].lower()
+    if kind == ".shp":
+        prj = path[:-4] + ".prj"
+        if not os.path.exists(prj):
+            return None
+        with open(prj) as f:
+            text = f.read()
+        code = re.findall(r'AUTHORITY\["(\w+)", ?"?(\w+)"?\]', text) or re.findall(r'ID\["(\w+)", ?"?(\w+)"?\]', text)
+        zone = re.search(r"UTM_Zone_(\d+)([NS])", text)
+        if code:
+            return ":".join(code[-1])
+        if zone:
+            return f"EPSG:32{'6' if zone[2] == 'N' else '7'}{int(zone[1]):02d}"
+        return "EPSG:3857" if "Mercator_Auxiliary_Sphere" in text else "EPSG:4326" if text.startswith("GEOGCS") and "WGS" in text else None
+    if kind == ".gpkg":
+        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        try:
+            found = db.execute("SELECT organization, organization_coordsys_id FROM gpkg_geometry_columns JOIN gpkg_spatial_ref_sys USING (srs_id) ORDER BY table_name").fetchone()
+        finally:
+            db.close()
+        return f"{found[0]}:{found[1]}".upper() if found and found[0] != "NONE" else None
+    if kind in (".geojson", ".json"):
+        with geojson._open(files_any(spark, path)) as f:
+            m = re.search(rb'"crs"\s*:\s*\{[^{}]*\{[^{}]*"name"\s*:\s*"([^"]+)"', f.read(1 << 16))
+        return m[1].decode() if m else None
+    if kind not in (".parquet", ""):
+        return None
+    with open_footer(first_file(spark, path)) as f:
+        geo = json.loads((f.metadata.metadata or {}).get(b"geo", b"{}"))
+        column = geo.get("columns", {}).get(geo.get("primary_column"), {})
+        return column.get("crs") or next((c["crs"] for c in native.columns(f).values() if c["crs"]), None)
+
+
+def files_any(spark: SparkSession, path: str) -> str:
+    return spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()["path"]
 
 
 def sniff_delimiter(line: str) -> str:
@@ -54,7 +126,12 @@ def read_csv(spark: SparkSession, path: str, *, delimiter: str | None = None, wk
             bad = out.where(F.col("_g").isNull() & F.col(f"`{text}`").isNotNull()).limit(1).count()
             if bad:
                 raise ValueError(f"{text} holds text that isn't a geometry; skip_invalid leaves it out")
-        return out.drop(text).withColumnRenamed("_g", "geometry").where("geometry is not null")
+        out = out.drop(text).withColumnRenamed("_g", "geometry").where("geometry is not null")
+        e = udf.envelope(F.col("geometry"))
+        far = out.limit(1000).select(e.alias("e")).agg(F.max(F.greatest(F.abs("e.xmin"), F.abs("e.xmax"))).alias("x"), F.max(F.greatest(F.abs("e.ymin"), F.abs("e.ymax"))).alias("y")).first()
+        if (far["x"] or 0) > 180 or (far["y"] or 0) > 90:
+            warnings.warn(f"coordinates reach {far['x']:.2f}, {far['y']:.2f}: the geometries may be in a projected system", stacklevel=2)
+        return out
     lat = lat_column or next((lower[n] for n in LAT_NAMES if n in lower), None)
     lon = lon_column or next((lower[n] for n in LON_NAMES if n in lower), None)
     if not lat or not lon:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udf, wkb
 from ..operators.extract import geometry_column
+from ..plans.metadata import is_geographic
 
 POINT, LINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
 #: Shape type by geometry kind, and the system that is written (fixed values).
@@ -98,8 +99,8 @@ def _dbf_value(v, kind: str, width: int, decimals: int) -> bytes:
     return raw.decode("utf-8", "ignore").encode().ljust(width)
 
 
-def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped: bool = False) -> None:
-    """path.shp, .shx, .dbf, .prj and .cpg. One kind of geometry; structs, lists and maps are left out; texts are cut at
+def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped: bool = False, crs: str | None = None) -> None:
+    """path.shp, .shx, .dbf, .cpg and, for longitude and latitude (also where crs is None), .prj. One kind of geometry; structs, lists and maps are left out; texts are cut at
     254 bytes and names at 10, which must still differ."""
     stem = path.removesuffix(".shp")
     if os.path.exists(f"{stem}.shp") and not overwrite:
@@ -139,12 +140,13 @@ def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped
         today = datetime.date.today()
         dbf.seek(0)
         dbf.write(struct.pack("<4BIHH", 3, today.year - 1900, today.month, today.day, n, head, 1 + sum(f[2] for f in fields)))
-    for suffix, text in (("prj", WGS84), ("cpg", "UTF-8")):
+    about = [*([("prj", WGS84)] if crs is None or is_geographic(crs) else []), ("cpg", "UTF-8")]
+    for suffix, text in about:
         with open(f"{stem}.{suffix}", "w") as f:
             f.write(text)
     if zipped:
         with zipfile.ZipFile(f"{stem}.shp.zip", "w", zipfile.ZIP_DEFLATED) as z:
-            for suffix in ("shp", "shx", "dbf", "prj", "cpg"):
+            for suffix in ("shp", "shx", "dbf", *(x for x, _ in about)):
                 z.write(f"{stem}.{suffix}", f"{os.path.basename(stem)}.{suffix}")
 
 

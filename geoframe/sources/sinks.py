@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from ..functions import expr, udf, wkb
+from ..functions import expr, native, udf, wkb
 from ..operators.aggregate import analyze_partitions, partition_key
 from ..operators.extract import bbox_column, geometry_column
 from ..plans import metadata
@@ -88,6 +88,9 @@ class _OpenFile:
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         codec, level = options["codec"], options.get("level")
         self.stream = fs.open_output_stream(name)
+        self.kind = native.wkb_type(json.loads(options["crs"]) if options.get("crs") else None, options.get("edges")) if options["version"] == "2.0" else None
+        if self.kind is not None:
+            schema = schema.set(schema.get_field_index(options["geometry"]), pa.field(options["geometry"], self.kind))
         self.writer = pq.ParquetWriter(self.stream, schema, compression=codec, compression_level=int(level) if level else None)
         self.box, self.kinds = None, set()
 
@@ -104,12 +107,15 @@ class _OpenFile:
                 if e:
                     b = self.box
                     self.box = e if b is None else (min(b[0], e[0]), min(b[1], e[1]), max(b[2], e[2]), max(b[3], e[3]))
+        if self.kind is not None:
+            table = native.as_native(table, geometry, self.kind)
         self.writer.write_table(table, row_group_size=int(self.o["rows"]))
 
     def close(self) -> str:
         o = self.o
         meta = metadata.build(o["geometry"], version=o["version"], bbox=self.box, geometry_types=sorted(self.kinds), crs=json.loads(o["crs"]) if o.get("crs") else None, bbox_column=o.get("bbox"), original=json.loads(o["original"]) if o.get("original") else None)
-        self.writer.add_key_value_metadata({"geo": json.dumps(meta)})
+        if o.get("geo_only") != "true":
+            self.writer.add_key_value_metadata({"geo": json.dumps(meta)})
         self.writer.close()
         self.stream.close()
         return self.name
@@ -181,15 +187,21 @@ def _beside(path: str, overwrite: bool) -> Iterator[str]:
     remove(old)
 
 
-def write_parquet(df: DataFrame, path: str, *, version: str | None = None, overwrite: bool = False, codec: str = "ZSTD", level: int | None = None, row_group_rows: int = 100_000, crs=None, original: dict | None = None) -> None:
-    """A folder of Parquet files, a file a task, each with `geo` metadata of its own bounds and geometry types."""
+def write_parquet(df: DataFrame, path: str, *, version: str | None = None, overwrite: bool = False, codec: str = "ZSTD", level: int | None = None, row_group_rows: int = 100_000, crs=None, original: dict | None = None, geo_only: bool = False) -> None:
+    """A folder of Parquet files, a file a task, each with `geo` metadata of its own bounds and geometry types.
+
+    Version 2.0 has native geometry types, whose statistics stand in for an envelope column, which therefore goes; with geo_only
+    it has nothing but those, no `geo` metadata.
+    """
     geometry = geometry_column(df)
     if geometry is None:
         raise ValueError("no geometry")
-    if version == "2.0":
-        raise ValueError("native geometry types can't be written here; versions 1.0 and 1.1 can")
+    if geo_only:
+        version = "2.0"
+    if metadata.version_for(original, version) == "2.0" and (box := bbox_column(df)):
+        df = df.drop(box)
     with _beside(path, overwrite) as staged:
-        _write(df, staged, geometry, version, codec, level, row_group_rows, crs, original)
+        _write(df, staged, geometry, version, codec, level, row_group_rows, crs, original, geo_only=str(geo_only).lower())
 
 
 def sanitize(value: str) -> str:

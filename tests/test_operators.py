@@ -364,7 +364,7 @@ def test_streaming(places, tmp_path):
 
 def test_queries_match_their_oracles_on_the_smallest_tables(spark):
     duckdb = pytest.importorskip("duckdb")
-    from geoframe.plans import queries
+    from geoframe.plans import queries, roundtrips  # noqa: F401  registers its own
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
