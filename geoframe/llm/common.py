@@ -79,6 +79,17 @@ def drop(*cuts: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+class Cuts:
+    """cut(), with a list of what to delete in the end."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.made.append(cut(df, label))
+        return self.made[-1]
+
+
 #: Identity of a row: its file and its place there.  Stable when tasks run again, distinct for repeated rows.
 ROW = ["fid", "rix"]
 
