@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, load, ship, with_rows, with_text_ids
+from .common import ROW, cut, drop, load, release, ship, with_rows, with_text_ids
 from .numeric import IN_SEQUENCE, SECOND, Prefix, chunks, sliding_min, words
 
 WINDOW, GRAM = 35, 5
@@ -117,11 +117,14 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     rows: fid, rix, doc_id, text (binary).
     """
     all_blocks = cut(blocks(rows, window, gram), "blocks")
-    shared = all_blocks.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # the aggregated sides are cut first: a join of two plain shuffles may be split where one anchor is very common
+    shared = cut(all_blocks.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "shared-anchors")
     some = cut(all_blocks.join(shared, "anchor"), "shared-blocks")
-    index = some.where("n > 0").groupBy("block", "anchor").agg(F.count("*").alias("c"), F.min(F.struct("fid", "rix", "at")).alias("first")).where("c > 1")
+    drop(all_blocks, shared)
+    index = cut(some.where("n > 0").groupBy("block", "anchor").agg(F.count("*").alias("c"), F.min(F.struct("fid", "rix", "at")).alias("first")).where("c > 1"), "block-index")
     kind = F.when(F.col("first").isNull(), 0).when(F.struct("fid", "rix", "at") == F.col("first"), 2).otherwise(1)
     factored = cut(some.join(index, ["block", "anchor"], "left").select(*ROW, "at", "anchor", "n", "total", F.when(F.col("n") > 0, kind).otherwise(0).alias("kind")), "factors")
+    drop(some, index)
     per_row = (
         factored.groupBy(*ROW)
         .agg(F.collect_list(F.struct("at", "anchor", "n", "kind")).alias("f"), F.max("total").alias("total"), F.sum(F.when(F.col("kind") > 0, F.col("n")).otherwise(0)).alias("inside"), F.max("kind").alias("top"))
@@ -129,7 +132,7 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         .select(*ROW, *[F.col(f"f.{c}").alias(f"{c}s") for c in ("at", "anchor", "n", "kind")])
     )
     found = cut(boundary_windows(rows.join(per_row, ROW), window, gram), "windows")
-    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("h1", "h2")
+    twice = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("h1", "h2"), "window-index")
     single = found.where("open").join(twice, ["h1", "h2"]).select(*ROW, "at", F.lit(1).alias("n"))
     return factored.where("kind > 0").select(*ROW, "at", "n").union(single)
 
