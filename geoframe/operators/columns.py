@@ -72,7 +72,7 @@ def kdtree_splits(points: np.ndarray, levels: int) -> list[float | None]:
 
 
 #: Parts into which a cell's range is cut in each pass towards its exact median.
-PARTS = 1024
+PARTS = 1 << 14
 
 
 def _cell(splits: list[float | None], levels: int) -> Column:
