@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import email.utils
 import json
 import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,35 +19,62 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import udf, wkb
 
-#: Features of a page at most, tries of a request, statuses worth another try (fixed values).
-PAGE, TRIES, AGAIN = 2000, 3, (429, 500, 502, 503, 504)
+#: Features of a page at most; seconds after which a request is given up, and the longest wait between two.
+PAGE, PATIENCE, LONGEST = 2000, 120.0, 30.0
+#: Rows from which a filter is left to the warehouse.
 BBOX_ROWS = 500_000
 
 
-def fetch(url: str, params: dict, get: Callable[[str], str] | None = None, wait: float = 1.0) -> dict:
-    """A JSON reply; busy and failing servers are asked again, with growing waits; errors in a reply are raised."""
-    full = f"{url}?{urllib.parse.urlencode(params)}"
-    for k in range(TRIES):
+def pause(error: Exception, asked: int) -> float | None:
+    """Seconds until a request that failed so often may be sent again; None if that is of no use.
+
+    A server that is overloaded or down for a while (429 and 5xx) may name the time; else waits double, as they do for
+    connections that fail.
+    """
+    if isinstance(error, urllib.error.HTTPError):
+        if error.code != 429 and error.code // 100 != 5:
+            return None
+        named = (error.headers or {}).get("Retry-After")
+        if named and named.isdigit():
+            return float(named)
+        if named:
+            return max(0.0, email.utils.parsedate_to_datetime(named).timestamp() - time.time())
+    return min(LONGEST, 0.5 * 2**asked)
+
+
+def fetch(url: str, params: dict, get: Callable[[str], str] | None = None, *, patience: float = PATIENCE, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """A JSON reply. Requests are repeated as pause() says, as long as the waits together stay within patience."""
+    full, left, asked = f"{url}?{urllib.parse.urlencode(params)}", patience, 0
+    text = None
+    while text is None:
         try:
-            if get:
-                text = get(full)
-            else:
-                with urllib.request.urlopen(full, timeout=60) as reply:
-                    text = reply.read().decode()
-            break
-        except urllib.error.HTTPError as e:
-            if e.code not in AGAIN or k + 1 == TRIES:
+            text = get(full) if get else urllib.request.urlopen(full, timeout=60).read().decode()
+        except urllib.error.URLError as error:  # HTTPError is one, too
+            wait = pause(error, asked)
+            if wait is None or wait > left:
                 raise
-        except urllib.error.URLError:
-            if k + 1 == TRIES:
-                raise
-        time.sleep(wait * (k + 1))
+            left, asked = left - wait, asked + 1
+            sleep(wait)
     out = json.loads(text)
-    if "error" in out:
+    if "error" in out:  # these services answer errors with status 200
         raise ValueError(out["error"].get("message", "the service reports an error"))
     return out
 
 
+def token_for(url: str, user: str, password: str, *, portal: str | None = None, post: Callable[[str, dict], str] | None = None) -> str:
+    """A token for a user, from the portal or, on a server of one's own, from the token service beside its rest folder."""
+    root = url.lower().find("/rest/")
+    if portal is None and root < 0:
+        raise ValueError("no portal is given, and the address has no rest folder beside which a token service could be")
+    service = portal or f"{url[:root]}/tokens/generateToken"
+    form = {"username": user, "password": password, "client": "requestip", "expiration": 60, "f": "json"}
+    text = post(service, form) if post else urllib.request.urlopen(service, urllib.parse.urlencode(form).encode(), timeout=60).read().decode()
+    out = json.loads(text)
+    if "token" not in out:
+        raise ValueError(out.get("error", {}).get("message", "no token"))
+    return out["token"]
+
+
 def page_params(offset: int, limit: int, *, where: str = "1=1", bbox: tuple | None = None, fields: str = "*", token: str | None = None) -> dict:
     p = {"where": where, "outFields": fields, "returnGeometry": "true", "f": "geojson", "outSR": 4326, "resultOffset": offset, "resultRecordCount": limit}
     if bbox:
@@ -139,10 +168,28 @@ def table_id(name: str, project: str | None = None) -> str:
 
 
 def bbox_on_server(mode: str, rows: int | None, threshold: int = BBOX_ROWS) -> bool:
-    """auto leaves the filter to the server from so many rows on; unknown sizes are filtered here."""
-    if mode not in ("auto", "server", "local"):
-        raise ValueError(f"no mode {mode}")
-    return mode == "server" or mode == "auto" and rows is not None and rows >= threshold
+    """Where a box is filtered: auto leaves large tables to the server; tables of unknown size are filtered here."""
+    large = (rows or 0) >= threshold
+    try:
+        return {"server": True, "local": False, "auto": large}[mode]
+    except KeyError:
+        raise ValueError(f"no mode {mode}") from None
+
+
+def rows_query(name: str) -> str:
+    """What asks for a table's number of rows, from its dataset's metadata, without a scan."""
+    project, dataset, table = name.split(".")
+    return f"SELECT row_count FROM `{project}.{dataset}.__TABLES__` WHERE table_id = '{table}'"
+
+
+def warehouse_rows(spark: SparkSession, name: str) -> int | None:
+    """Rows of a table as its metadata tell; None where they can't be read."""
+    try:
+        found = spark.read.format("bigquery").option("viewsEnabled", "true").option("query", rows_query(name)).load().first()
+    except Exception as e:  # of the connector, whose errors have no common class
+        warnings.warn(f"the number of rows of {name} can't be read: {e}", stacklevel=2)
+        return None
+    return found[0] if found else None
 
 
 def warehouse_filter(*, where: str | None = None, bbox: tuple | None = None, geography: str = "geography", on_server: bool = True) -> str | None:
@@ -159,6 +206,8 @@ def warehouse_filter(*, where: str | None = None, bbox: tuple | None = None, geo
 
 def read_bigquery(spark: SparkSession, name: str, *, project: str | None = None, where: str | None = None, bbox: tuple | None = None, bbox_mode: str = "auto", rows: int | None = None, columns: list[str] | None = None, exclude_columns: list[str] | None = None, limit: int | None = None, geography: str = "geography") -> DataFrame:
     """Through the public Spark connector, which must be on the class path."""
+    if bbox and bbox_mode == "auto" and rows is None:
+        rows = warehouse_rows(spark, table_id(name, project))
     on_server = bbox_on_server(bbox_mode, rows)
     reader = spark.read.format("bigquery").option("table", table_id(name, project))
     condition = warehouse_filter(where=where, bbox=bbox, geography=geography, on_server=on_server)

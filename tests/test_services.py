@@ -39,13 +39,34 @@ def test_short_pages_are_completed():
 
 
 def test_busy_servers_are_asked_again():
-    get, state = server(FEATURES, busy=2)
-    assert services.fetch("http://x/0/query", services.page_params(0, 1), get, wait=0)["features"]
+    waits = []
     get, state = server(FEATURES, busy=3)
+    assert services.fetch("http://x/0/query", services.page_params(0, 1), get, sleep=waits.append)["features"]
+    assert waits == [0.5, 1.0, 2.0]
+    get, state = server(FEATURES, busy=9)
     with pytest.raises(urllib.error.HTTPError):
-        services.fetch("http://x/0/query", services.page_params(0, 1), get, wait=0)
+        services.fetch("http://x/0/query", services.page_params(0, 1), get, patience=10, sleep=waits.append)
     with pytest.raises(ValueError, match="no token"):
         services.fetch("http://x", {}, lambda _: '{"error": {"message": "no token"}}')
+    error = lambda code, **headers: urllib.error.HTTPError("http://x", code, "", {k.replace("_", "-"): v for k, v in headers.items()}, None)
+    assert services.pause(error(404), 0) is None and services.pause(error(429, Retry_After="7"), 0) == 7 and services.pause(error(503), 9) == services.LONGEST
+    assert services.pause(error(503, Retry_After="Thu, 01 Jan 1970 00:00:00 GMT"), 0) == 0 and services.pause(urllib.error.URLError("down"), 1) == 1.0
+
+
+def test_tokens():
+    asked = []
+
+    def post(url, form):
+        asked.append((url, form["username"]))
+        return '{"token": "t"}' if form["password"] == "right" else '{"error": {"message": "wrong password"}}'
+
+    assert services.token_for("https://h/arcgis/rest/services/a/FeatureServer/0", "u", "right", post=post) == "t"
+    assert services.token_for("https://h/x", "u", "right", portal="https://p/generateToken", post=post) == "t"
+    assert asked == [("https://h/arcgis/tokens/generateToken", "u"), ("https://p/generateToken", "u")]
+    with pytest.raises(ValueError, match="wrong password"):
+        services.token_for("https://h/arcgis/rest/x", "u", "no", post=post)
+    with pytest.raises(ValueError, match="no portal"):
+        services.token_for("https://h/x", "u", "no", post=post)
 
 
 def test_requests():
@@ -60,6 +81,9 @@ def test_warehouse():
         with pytest.raises(ValueError):
             services.table_id(bad)
     assert services.bbox_on_server("auto", 500_000) and not services.bbox_on_server("auto", None) and not services.bbox_on_server("local", 10**9)
+    assert services.rows_query("p.d.t") == "SELECT row_count FROM `p.d.__TABLES__` WHERE table_id = 't'"
+    with pytest.raises(ValueError, match="no mode"):
+        services.bbox_on_server("x", 1)
     f = services.warehouse_filter(where="a > 1", bbox=(0, 0, 1, 1), geography="g")
     assert f == "(a > 1) AND ST_INTERSECTS(g, ST_GEOGFROMTEXT('POLYGON((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 1.0, 0.0 0.0))'))"
     assert services.warehouse_filter(bbox=(0, 0, 1, 1), on_server=False) is None
