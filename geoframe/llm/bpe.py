@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import load, pick, release, ship, with_text_ids
-from .numeric import distinct
+from .numeric import distinct, spread
 
 #: Code points with the White_Space property (fixed values of Unicode).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -157,12 +157,6 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.append(at, len(raw)), split
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ... size[0] of them, then those of start[1], and so on."""
-    stop = np.cumsum(size)
-    return np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
-
-
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
