@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, drop, load, scanned, with_rows
+from .common import ROW, Cuts, cut, drop, load, scanned, with_rows
 
 MIN_CHARS, OPEN = 16, 8
 #: Lines that may be broadcast; more are joined by shuffle.
@@ -71,13 +71,13 @@ def _shared(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
 
 
-def _open_parts(texts: DataFrame) -> DataFrame:
+def _open_parts(texts: DataFrame, cuts: Cuts) -> DataFrame:
     """h1, h2, line, a, c, key: the parts of at most OPEN + 1 characters of each line outside which another line agrees."""
     zero = F.lit(0)
     parts, done = texts.select(*LINE, "line", zero.alias("a"), zero.alias("c"), F.lit(0).cast("long").alias("key")), []
     while not parts.isEmpty():
-        halves = cut(parts.select(*LINE, "line", F.explode(_halves(F.col("a"), F.col("c"))).alias("p")).select(*LINE, "line", "p.*").dropDuplicates([*LINE, "a", "c"]), "line-parts")
-        now = cut(halves.join(cut(_shared(halves), "line-rests"), "key", "left_semi"), "line-parts")
+        halves = cuts(parts.select(*LINE, "line", F.explode(_halves(F.col("a"), F.col("c"))).alias("p")).select(*LINE, "line", "p.*").dropDuplicates([*LINE, "a", "c"]), "line-parts")
+        now = cuts(halves.join(cuts(_shared(halves), "line-rests"), "key", "left_semi"), "line-parts")
         drop(halves)
         size = F.length("line") - F.col("a") - F.col("c")
         # a partner may be a character longer: at OPEN + 1 a part is both taken and bisected
@@ -95,25 +95,25 @@ def _variants(parts: DataFrame) -> DataFrame:
     return parts.withColumn("mid", mid).select(*LINE, F.explode(F.concat(whole, some)).alias("v")).select(*LINE, "v.key", "v.at").distinct()
 
 
-def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+def _near(first: DataFrame, lines: DataFrame, min_chars: int, cuts: Cuts) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line within one edit.
 
     first: h1, h2, ord (place of the first occurrence), keys (half keys, null for short lines); lines: every line.
     """
     halves = first.where("keys is not null").select(*LINE, F.explode("keys").alias("key"))
     # the small side is cut first: a join of two plain shuffles may be split where one half is very common
-    some = cut(halves.join(cut(_shared(halves), "line-rests"), "key", "left_semi").select(*LINE).distinct(), "line-candidates")
+    some = cuts(halves.join(cuts(_shared(halves), "line-rests"), "key", "left_semi").select(*LINE).distinct(), "line-candidates")
     places = first.join(some, LINE, "left_semi").select(*LINE, "ord", *[F.col(f"ord.{c}").alias(c) for c in (*ROW, "pos")])
-    places = cut(places, "line-places")
+    places = cuts(places, "line-places")
     small = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    texts = cut(lines.select(*ROW, "pos", "line").join(small, [*ROW, "pos"]).select(*LINE, "ord", "line"), "line-texts")
-    v = cut(_variants(_open_parts(texts.select(*LINE, "line"))), "line-variants")
+    texts = cuts(lines.select(*ROW, "pos", "line").join(small, [*ROW, "pos"]).select(*LINE, "ord", "line"), "line-texts")
+    v = cuts(_variants(_open_parts(texts.select(*LINE, "line"), cuts)), "line-variants")
     # one character replaced: every line under (key, at) with the earliest
     o = texts.select(*LINE, "ord")
     sub = v.where("at > 0")
-    crowd = cut(sub.groupBy("key", "at").agg(F.count("*").alias("c")).where("c > 1").select("key", "at"), "line-crowds")
-    sub = cut(sub.join(crowd, ["key", "at"]).join(o, LINE), "line-replaced")
-    least = cut(sub.groupBy("key", "at").agg(F.min(F.struct("ord", *LINE)).alias("m")).select("key", "at", F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2")), "line-least")
+    crowd = cuts(sub.groupBy("key", "at").agg(F.count("*").alias("c")).where("c > 1").select("key", "at"), "line-crowds")
+    sub = cuts(sub.join(crowd, ["key", "at"]).join(o, LINE), "line-replaced")
+    least = cuts(sub.groupBy("key", "at").agg(F.min(F.struct("ord", *LINE)).alias("m")).select("key", "at", F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2")), "line-least")
     pairs = sub.join(least, ["key", "at"]).select("h1", "h2", "g1", "g2")
     # one character more: the longer lines with the line that is left
     centre = v.where("at = -1").select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
@@ -126,16 +126,19 @@ def _near(first: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """fid, rix, gone (places, from 0, of the lines that go). rows: fid, rix, doc_id, text."""
+    """fid, rix, gone (places, from 0, of the lines that go), cut. rows: fid, rix, doc_id, text."""
+    cuts = Cuts()
     lines = _lines(rows)
     keys = F.when(F.length("line") >= min_chars, _half_keys(F.col("line")))
     # the half keys of a short line stay null; equal lines have equal keys
-    seen = cut(lines.select(*ROW, "doc_id", "th", "pos", *LINE, keys.alias("keys")), "lines")
-    first = cut(seen.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.first("keys").alias("keys")), "first-lines")
-    near = cut(_near(first, lines, min_chars), "near-lines").withColumn("near", F.lit(True))
+    seen = cuts(lines.select(*ROW, "doc_id", "th", "pos", *LINE, keys.alias("keys")), "lines")
+    first = cuts(seen.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.first("keys").alias("keys")), "first-lines")
+    near = cuts(_near(first, lines, min_chars, cuts), "near-lines").withColumn("near", F.lit(True))
     of = first.select(*LINE, "ord").join(near, LINE, "left")
     gone = seen.join(of, LINE).where(F.col("near").isNotNull() | (F.col("ord.pos") != F.col("pos")) | reduce(lambda x, y: x | y, [F.col(f"ord.{c}") != F.col(c) for c in ROW]))
-    return gone.groupBy(*ROW).agg(F.collect_list("pos").alias("gone"))
+    out = cut(gone.groupBy(*ROW).agg(F.collect_list("pos").alias("gone")), "gone-lines")
+    drop(*cuts.made)
+    return out
 
 
 def _kept(text: str, parts: str, gone: str) -> Column:
@@ -154,7 +157,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty one; other columns aren't read.  Two shuffles of hashes and one of the texts.
     """
     rows = with_rows(docs, doc_id=id_col, text=text_col)
-    gone = cut(repeated_lines(rows, min_chars), "gone-lines")
+    gone = repeated_lines(rows, min_chars)
     # dealt out alike at every size: a list for most documents outgrows any broadcast; a partition's lists are held, its texts pass by
     out = rows.join(gone.hint("shuffle_hash"), ROW, "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     n_lines = F.size(F.filter("parts", lambda x: F.trim(x) != ""))
@@ -164,7 +167,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs, all columns, without the lines that dedup_lines() takes; chars_col, if there, is the new length."""
     docs = scanned(docs)
-    gone = cut(repeated_lines(with_rows(docs, doc_id=id_col, text=text_col), min_chars), "gone-lines")
+    gone = repeated_lines(with_rows(docs, doc_id=id_col, text=text_col), min_chars)
     gone = gone.select(F.col("fid").alias("_line_fid"), F.col("rix").alias("_line_rix"), F.col("gone").alias("_line_gone")).hint("shuffle_hash")
     at = docs.metadataColumn("_metadata")
     out = docs.join(gone, (F.xxhash64(at["file_path"]) == gone["_line_fid"]) & (at["row_index"] == gone["_line_rix"]), "left")
