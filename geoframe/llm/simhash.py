@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, load, pick, release, ship, with_rows, with_text_ids
+from .common import ROW, cut, drop, load, pick, release, scanned, ship, with_rows, with_text_ids
 from .graph import components
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -128,7 +128,7 @@ def links(fps: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     All of them, or within a crowded key as many as keep the components.
     """
     k = cut(keyed(fps), "keys")
-    count = k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    count = cut(k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
     k = cut(k.join(count, "key"), "shared-keys")
     few = k.where(F.col("n") <= pairs_up_to).select("key", "fp")
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
@@ -153,7 +153,8 @@ def grouped(prints: DataFrame) -> DataFrame:
     root = cut(components(links(fps), "a", "b"), "roots")
     low = root.join(fps, root["node"] == fps["fp"]).groupBy("root").agg(F.min("lo").alias("low"))
     linked = root.join(low, "root").select(F.col("node").alias("fp"), "low", F.lit(True).alias("is_linked"))
-    of = fps.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("low")).otherwise(F.col("lo")).alias("component_id"))
+    # cut first: a join of two plain shuffles may be split where a third of all rows are copies of one text
+    of = cut(fps.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("low")).otherwise(F.col("lo")).alias("component_id")), "groups")
     return prints.join(of, "fp")
 
 
@@ -174,17 +175,24 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs (a file scan) without near-duplicates: of each component the row of smallest doc_id stays.
+    """The rows of docs without near-duplicates: of each component the row of smallest doc_id stays.
 
     Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see jaccard.py), not those of
     op8's fingerprints: two bits of 64 miss most of them.  Texts without words are equal.
     Of rows with that doc_id the first in file order of the first file stays; null ids come last.
     """
-    found = cut(jaccard.sets(with_rows(docs, doc_id=id_col, text=text_col)), "prints")
-    prints = found.select("fid", "rix", "doc_id", "fp")
-    root = components(jaccard.links(found.select("fp", "toks")), "a", "b").withColumnRenamed("node", "fp")
-    in_group = prints.join(root, "fp", "left").select("fid", "rix", "doc_id", F.coalesce("root", "fp").alias("group"))
+    docs = scanned(docs)
+    rows = with_rows(docs, doc_id=id_col, text=text_col)
+    found = cut(jaccard.prints(rows), "prints")
+    wanted = jaccard.resembling(found)
+    one = found.select(*ROW, "fp").join(wanted, "fp").groupBy("fp").agg(F.min(F.struct(*ROW)).alias("at")).select("fp", "at.*")
+    # the texts pass by, what is wanted of them is held
+    sets = cut(jaccard.sets(rows.select(*ROW, "text").join(one.hint("shuffle_hash"), ROW).select("fp", "text")), "sets")
+    near = jaccard.links(sets)
+    root = cut(components(near, "a", "b"), "roots").withColumnRenamed("node", "fp")
+    in_group = found.select("fid", "rix", "doc_id", "fp").join(root, "fp", "left").select("fid", "rix", "doc_id", F.coalesce("root", "fp").alias("group"))
     stays = in_group.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fid", "rix")).alias("m")).select(F.col("m.fid").alias("_near_fid"), F.col("m.rix").alias("_near_rix"))
     stays = cut(stays, "stays")
+    drop(found, wanted, sets, near)
     at = docs.metadataColumn("_metadata")
     return docs.join(stays, (F.xxhash64(at["file_path"]) == stays["_near_fid"]) & (at["row_index"] == stays["_near_rix"]), "left_semi")

@@ -63,14 +63,56 @@ def test_copies_stage_finds_all_of_four_fifths(spark):
     assert {r["doc_id"] for r in corpus_pipeline.copies_stage(spark, d, "").collect()} == kept(rows)
 
 
-@pytest.mark.parametrize("pairs_up_to, broadcast", [(1, 0), (1000, 1_000_000)])
-def test_links(spark, monkeypatch, pairs_up_to, broadcast):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+def reach(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return {n: find(n) for n in nodes}
+
+
+def same(one, two):
+    return len(set(zip(one.values(), two.values()))) == len(set(one.values())) == len(set(two.values()))
+
+
+@pytest.mark.parametrize("pairs_up_to, levels", [(1, 0), (1, 1), (1, 3), (8, 3), (1000, 3)])
+def test_links(spark, pairs_up_to, levels):
+    """All links, or as many as keep the components, whatever is expanded and however many leaders there are."""
     rows = corpus()
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    found = cut(jaccard.sets(d), "sets")
-    text = {r["fp"]: shingles(dict(rows)[r["doc_id"]]) for r in found.collect()}
+    d = cut(spark.createDataFrame(rows, "doc_id long, text string"), "in")
+    prints = cut(jaccard.prints(d), "prints")
+    text = {r["fp"]: shingles(dict(rows)[r["doc_id"]]) for r in prints.collect()}
     assert len(text) == len(set(text.values()))
-    got = {tuple(sorted(x)) for x in jaccard.links(found.select("fp", "toks"), pairs_up_to).collect()}
     true = {tuple(sorted(x)) for x in combinations(text, 2) if near(text[x[0]], text[x[1]])}
-    assert got <= true and (pairs_up_to == 1 or got == true)
+    wanted = {r["fp"] for r in jaccard.resembling(prints).collect()}
+    assert {x for pair in true for x in pair} <= wanted
+    sets = cut(jaccard.sets(d.join(prints.select("doc_id", "fp"), "doc_id").dropDuplicates(["fp"]).select("fp", "text")), "sets")
+    got = {tuple(sorted(x)) for x in jaccard.links(sets, pairs_up_to, levels).collect()}
+    assert got <= true and same(reach(text, got), reach(text, true)) and (pairs_up_to < 1000 and levels or got == true)
+
+
+def test_chains_of_near_texts(spark):
+    """Clusters without a middle: each text near to the next ones only, some of them in a very large group."""
+    r = random.Random(4)
+    rows = []
+    for _ in range(3):
+        t = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(60):
+            rows.append(" ".join(t))
+            t[r.randrange(len(t))] = f"v{r.randrange(10**6)}"
+    base = [f"u{i}" for i in range(100)]
+    for _ in range(150):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 2, 3, 3, 4])):
+            t[r.choice([5, 20, 40, 60, 80, r.randrange(100)])] = r.choice(["a", "b", f"x{r.randrange(10**6)}"])
+        rows.append(" ".join(t))
+    rows = list(enumerate(rows))
+    d = cut(spark.createDataFrame(rows, "doc_id long, text string"), "in")
+    from geoframe.llm import simhash
+
+    assert {x["doc_id"] for x in simhash.one_of_each(d).collect()} == kept(rows)
