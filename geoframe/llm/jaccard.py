@@ -12,11 +12,16 @@ for among the differences from the leader: two texts x and y differ as much as t
 is far from the leader and near to y, then more than half of D(y), less what the sizes allow, lies in D(x), too.  That is
 a prefix filter again, over the elements of the differences, which few texts share; what is crowded there gets leaders of
 its own, for LEVELS levels, and is then expanded.
+
+What is expanded is filtered within the join: sets that differ in d members have sketches (parities of the members that fall
+into each of SKETCH places) that differ in at most d bits, so that a pair with sketches farther apart than near sets may be
+is not made.  Nor is a pair of which both sets are already known to be of one group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cuts, cut, drop, release, ship
-from .numeric import IN_SEQUENCE, Prefix, chunks, words
+from .numeric import IN_SEQUENCE, Prefix, chunks, majority, words
 
 SHINGLE = 5
-#: Keys with more sets than this are linked through one of them.
-PAIRS_UP_TO = 8
+#: Keys with more sets than this are linked through one of them.  A set meets at most so many others under a key; that
+#: is far less than the differences from leaders take where the sets of a key have little more than the key in common.
+PAIRS_UP_TO = 256
 #: Levels of leaders.
 LEVELS = 3
+#: Bits of a sketch.
+SKETCH = 512
 CHUNK, SALTS = 1 << 19, 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -73,21 +81,26 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """The other columns of rows with fp (equal for equal sets), n (members) and shown (the least of them) in place of text.
+    """The other columns of rows with fp (equal for equal sets), n (members), shown (the least of them) and sim in place of text.
 
-    A set of n shows its n // 5 + n // 50 + 1 least; a near one, of 4 / 5 n at least, has (4 n / 5) // 50 + 1 of them, too.
+    sim is the SimHash of the members, zero without any.  A set of n shows its n // 5 + n // 50 + 1 least; a near one, of 4 / 5 n at least, has (4 n / 5) // 50 + 1 of them, too.
     """
 
     def columns(found: list[np.ndarray]) -> dict[str, pa.Array]:
         fp = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-        return {"fp": pa.array(fp), "n": pa.array(np.array([len(x) for x in found], np.int32)), "shown": _lists([x[: len(x) // 5 + len(x) // 50 + 1] for x in found])}
+        return {"fp": pa.array(fp), "n": pa.array(np.array([len(x) for x in found], np.int32)), "shown": _lists([x[: len(x) // 5 + len(x) // 50 + 1] for x in found]), "sim": pa.array(np.array([majority(x) for x in found], np.uint64).view(np.int64))}
+
+    return _mapped(rows, "fp long, n int, shown array<bigint>, sim long", columns)
 
-    return _mapped(rows, "fp long, n int, shown array<bigint>", columns)
+
+def _sketch(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount(found & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def sets(rows: DataFrame) -> DataFrame:
-    """The other columns of rows with toks, the set, in place of text."""
-    return _mapped(rows, "toks array<bigint>", lambda found: {"toks": _lists(found)})
+    """The other columns of rows with toks, the set, and its sketch in place of text."""
+    return _mapped(rows, "toks array<bigint>, sketch array<bigint>", lambda found: {"toks": _lists(found), "sketch": _lists([_sketch(x) for x in found])})
 
 
 def resembling(found: DataFrame) -> DataFrame:
@@ -110,18 +123,33 @@ def _compared(pairs: DataFrame, found: DataFrame, cuts: Cuts, diff: bool = False
     return cuts(one.select("a", "b", (9 * F.col("i") >= 4 * F.col("s")).alias("is_near"), *(["diff"] if diff else [])), "compared")
 
 
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of found (fp, toks) that have a similarity of 0.8 or more (a cut); pairs of which one isn't there go."""
+    cuts = Cuts()
+    out = cut(_compared(pairs.distinct(), found, cuts).where("is_near").select("a", "b"), "verified")
+    drop(*cuts.made)
+    return out
+
+
 def _ordered(rows: DataFrame, group: list[str], keep: list[str], element: str, cuts: Cuts) -> DataFrame:
     """group, keep and order: of each row's elements those that others of the group have, too, rarest first."""
     held = cuts(rows.groupBy(*group, element).agg(F.count("*").alias("df")).where("df > 1"), "held")
     return rows.join(held, [*group, element]).groupBy(*group, *keep).agg(F.sort_array(F.collect_list(F.struct("df", F.col(element).alias("e")))).alias("order"))
 
 
-def links(found: DataFrame, pairs_up_to: int = PAIRS_UP_TO, levels: int = LEVELS) -> DataFrame:
-    """a, b (a cut): links between distinct sets of similarity 0.8 or more, from found (fp, toks; fp distinct).
+def links(found: DataFrame, pairs_up_to: int = PAIRS_UP_TO, levels: int = LEVELS, groups: DataFrame | None = None) -> DataFrame:
+    """a, b (a cut): links between distinct sets of similarity 0.8 or more, from found (fp, toks, sketch; fp distinct).
 
-    All of them, or within a crowded key as many as keep the components.
+    All of them, or within a crowded key as many as keep the components.  groups (node, root): components of links that are
+    known already; with them, those between different groups suffice.
     """
     cuts = Cuts()
+    extra = found.select("fp", "sketch")
+    if groups is None:
+        extra = extra.withColumn("group", F.col("fp"))
+    else:
+        extra = extra.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sketch", F.coalesce("root", "fp").alias("group"))
+    extra = cuts(extra, "sketches")
     found = found.withColumn("n", F.size("toks"))
     order = _ordered(found.select("fp", "n", F.explode("toks").alias("tok")), [], ["fp", "n"], "tok", cuts)
     # shingles that no other set holds come first and take places of the prefix
@@ -130,6 +158,8 @@ def links(found: DataFrame, pairs_up_to: int = PAIRS_UP_TO, levels: int = LEVELS
     largest = (F.floor(9 * F.size("order") / 4) - F.col("n")).cast("int")
     shared = cuts(order.select("fp", "n", largest.alias("largest"), F.lit(0).alias("far"), F.explode(F.slice("order", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))).alias("o")).select("fp", "n", "largest", "far", F.col("o.e").alias("key")), "keys")
     alike = (5 * F.least("n", "o") >= 4 * F.greatest("n", "o")) & (F.col("n") <= F.col("o_largest")) & (F.col("o") <= F.col("largest"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("o_sketch")[i])) for i in range(SKETCH // 64)])
+    alike &= (F.col("group") != F.col("o_group")) & (9 * apart <= F.col("n") + F.col("o"))
     pairs = stars = None
     for level in range(levels + 1):
         # far has a bit for each level: of a pair that is still looked for, one at least is far from the leader of each
@@ -139,9 +169,11 @@ def links(found: DataFrame, pairs_up_to: int = PAIRS_UP_TO, levels: int = LEVELS
         met = cuts(shared.join(count, "key").where("largest >= smallest"), "shared-keys")
         drop(shared, count)
         few = met if level == levels else met.where(F.col("m") <= pairs_up_to)
-        other = few.select("key", F.col("fp").alias("b"), F.col("n").alias("o"), F.col("largest").alias("o_largest"), F.col("far").alias("o_far"))
+        few = cuts(few.join(extra, "fp"), "few")
+        other = few.select("key", F.col("fp").alias("b"), F.col("n").alias("o"), F.col("largest").alias("o_largest"), F.col("far").alias("o_far"), F.col("sketch").alias("o_sketch"), F.col("group").alias("o_group"))
         new = few.join(other, "key").where(F.col("fp") < F.col("b")).where(alike).where(F.col("far").bitwiseOR(F.col("o_far")) == (1 << level) - 1).select(F.col("fp").alias("a"), "b")
         new = cuts(new.distinct(), "candidates")
+        drop(few)
         pairs = new if pairs is None else pairs.union(new)
         crowd = met.where((F.col("m") > pairs_up_to) & (F.col("fp") != F.col("leader"))).groupBy("leader", "fp", "n", "largest", "far", "ln").agg(F.lit(1)) if level < levels else met.where("false")
         crowd = cuts(crowd.select("leader", "fp", "n", "largest", "far", "ln"), "crowds")

@@ -52,6 +52,14 @@ class Prefix:
             return mix(h + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def majority(h: np.ndarray) -> int:
+    """SimHash of hashes of 64 bits: a bit is 1 if it is in over half of them."""
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        count += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about so many bytes; a longer text stands alone."""
     a = total = 0
