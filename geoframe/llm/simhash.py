@@ -174,25 +174,40 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def golay_pairs(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: sets (fp, sim) whose SimHashes are linked, one of each SimHash, and the others of each SimHash with that one.
+
+    found: every row's sim; sets: the distinct sets that may be near to any other.
+    """
+    close = cut(links(cut(found.select(F.col("sim").alias("fp")).distinct(), "fingerprints")), "close")
+    first = cut(sets.groupBy("sim").agg(F.min("fp").alias("a")), "first-sets")
+    equal = sets.join(first, "sim").where("fp > a").select("a", F.col("fp").alias("b"))
+    one, two = first.select(F.col("sim").alias("sim_a"), "a"), first.select(F.col("sim").alias("sim_b"), F.col("a").alias("b"))
+    return equal.union(close.select(F.col("a").alias("sim_a"), F.col("b").alias("sim_b")).join(one, "sim_a").join(two, "sim_b").select("a", "b"))
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of smallest doc_id stays.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see jaccard.py), not those of
-    op8's fingerprints: two bits of 64 miss most of them.  Texts without words are equal.
-    Of rows with that doc_id the first in file order of the first file stays; null ids come last.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  SimHashes of these shingles are
+    linked by their Golay keys, as op8 does, over all rows; an exact check of the sets keeps the links that are near.
+    Two bits of 64 miss many near texts, so what is near across the groups found so is looked for exactly (see jaccard.py).
+    Texts without words are equal.  Of rows with that doc_id the first in file order of the first file stays; null ids come last.
     """
     docs = scanned(docs)
     rows = with_rows(docs, doc_id=id_col, text=text_col)
     found = cut(jaccard.prints(rows), "prints")
     wanted = jaccard.resembling(found)
-    one = found.select(*ROW, "fp").join(wanted, "fp").groupBy("fp").agg(F.min(F.struct(*ROW)).alias("at")).select("fp", "at.*")
+    one = found.select(*ROW, "fp", "sim").join(wanted, "fp").groupBy("fp", "sim").agg(F.min(F.struct(*ROW)).alias("at")).select("fp", "sim", "at.*")
     # the texts pass by, what is wanted of them is held
-    sets = cut(jaccard.sets(rows.select(*ROW, "text").join(one.hint("shuffle_hash"), ROW).select("fp", "text")), "sets")
-    near = jaccard.links(sets)
-    root = cut(components(near, "a", "b"), "roots").withColumnRenamed("node", "fp")
+    sets = cut(jaccard.sets(rows.select(*ROW, "text").join(one.hint("shuffle_hash"), ROW).select("fp", "sim", "text")), "sets")
+    by_golay = jaccard.verified(golay_pairs(found, sets), sets)
+    groups = cut(components(by_golay, "a", "b"), "groups")
+    near = jaccard.links(sets, groups=groups)
+    root = cut(components(by_golay.union(near), "a", "b"), "roots").withColumnRenamed("node", "fp")
     in_group = found.select("fid", "rix", "doc_id", "fp").join(root, "fp", "left").select("fid", "rix", "doc_id", F.coalesce("root", "fp").alias("group"))
     stays = in_group.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fid", "rix")).alias("m")).select(F.col("m.fid").alias("_near_fid"), F.col("m.rix").alias("_near_rix"))
     stays = cut(stays, "stays")
-    drop(found, wanted, sets, near)
+    drop(found, wanted, sets, by_golay, groups, near)
     at = docs.metadataColumn("_metadata")
     return docs.join(stays, (F.xxhash64(at["file_path"]) == stays["_near_fid"]) & (at["row_index"] == stays["_near_rix"]), "left_semi")
