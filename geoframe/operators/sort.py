@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr
 from .aggregate import bounds
@@ -52,29 +53,55 @@ def sort_quadkey(df: DataFrame, name: str = "quadkey", *, resolution: int = 13,
     return out.drop(name) if remove_column else out
 
 
-#: Ranges that place() numbers side by side.
-RANGES = 256
+#: Ranges that place() numbers side by side, and rows, about, from which each range's bounds are told.
+RANGES, DRAWN = 256, 40
+#: Types of which bounds of ranges are made.
+PLAIN = ("string", "binary", "boolean", "byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
+
+
+def _cuts(df: DataFrame, key: dict[str, Column], ranges: int) -> Column | None:
+    """Sorted keys that cut the table into ranges of about as many rows, as a constant array; None if one range is enough.
+
+    From the rows whose hash is a multiple of a number: the same in every run; equal keys count once.
+    """
+    # no filter: it would be pushed below the columns that the keys are made of, and these be repeated in it
+    whole, hashed = F.struct(*[c.alias(n) for n, c in key.items()]), F.xxhash64(*key.values())
+    drawn = df.select(whole.alias("_key"), hashed.alias("_hash"))
+    some = F.collect_set(F.when(F.pmod("_hash", F.lit(max(1, df.count() // (DRAWN * ranges)))) == 0, F.col("_key")))
+    pick = f"transform(sequence(1, least({ranges} - 1, size(s))), i -> element_at(s, cast(ceil(i * size(s) / least({ranges}, size(s) + 1)) as int)))"
+    found = drawn.agg(F.sort_array(some).alias("s")).select(F.when(F.size("s") > 1, F.expr(pick)).alias("c")).first()["c"] if ranges > 1 else None
+    if found is None:
+        return None
+    kind = drawn.schema["_key"].dataType
+    # of the very type of the keys, nulls included, or each comparison would cast
+    return F.sort_array(F.array(*[F.struct(*[F.lit(c[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]) for c in found]).cast(T.ArrayType(kind, False)))
 
 
 def place(df: DataFrame, order: list[str], name: str = "place", ranges: int = RANGES) -> DataFrame:
     """Each row's place, from 1, in the order of the columns, nulls last; ties in any order.
 
-    The first column, which must be a number or text, is cut into ranges of about as many rows, by bounds that are fixed before
-    rows are numbered within each range; no task sees all rows, and tasks that run again give the same numbers.
+    The order is cut into ranges of about as many rows, by keys of all columns (from the first that isn't a number, text, date or
+    time, without it and those after it), which are fixed before rows are numbered within each range. Only rows with equal keys must
+    share a range, so no task sees all rows, and tasks that run again give the same numbers. A row finds its range by halving.
     """
-    first, kind = F.col(f"`{order[0]}`"), df.schema[order[0]].dataType.typeName()
-    if kind == "string":
-        # texts by the number that their first bytes make: the same order as far as it tells
-        lead = F.conv(F.rpad(F.left(F.hex(F.left(first, F.lit(6))), F.lit(12)), 12, "0"), 16, 10).cast("double")
-    else:
-        lead = first.cast("double")
-    cuts = df.agg(F.percentile_approx(lead, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-    bounds_ = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    part = F.when(lead.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.col("_cuts"), lambda c: c <= F.col("_lead"))))
-    dealt = df.withColumns({"_lead": lead, "_cuts": bounds_}).withColumn("_part", part).drop("_lead", "_cuts")
+    key: dict[str, Column] = {}
+    for i, c in enumerate(order):
+        if df.schema[c].dataType.typeName() not in PLAIN:
+            break
+        key |= {f"n{i}": F.col(f"`{c}`").isNull(), f"v{i}": F.col(f"`{c}`")}
+    if not key:
+        raise ValueError(f"{order[0]} is no number, text, date or time")
+    cuts, part = _cuts(df, key, ranges), F.lit(0)
+    if cuts is not None:
+        # the key is built once, as the value that the fold begins with: in its steps it would be built again each time
+        start = F.struct(F.struct(*[c.alias(n) for n, c in key.items()]).alias("key"), F.lit(0).alias("at"))
+        halves = F.array(*[F.lit(1 << b) for b in range(ranges.bit_length() - 1, -1, -1)])
+        behind = lambda a, h: (a["at"] + h <= F.size(cuts)) & (F.element_at(cuts, F.least(a["at"] + h, F.size(cuts))) <= a["key"])
+        part = F.aggregate(halves, start, lambda a, h: F.struct(a["key"].alias("key"), F.when(behind(a, h), a["at"] + h).otherwise(a["at"]).alias("at")), lambda a: a["at"])
+    dealt = df.withColumn("_part", part)
     before, total = {}, 0
     for r in sorted(dealt.groupBy("_part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_part"]):
         before[r["_part"]], total = total, total + r["n"]
     base = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col("_part")).cast("long")
-    w = Window.partitionBy("_part").orderBy(*[F.asc_nulls_last(c) for c in order])
+    w = Window.partitionBy("_part").orderBy(*[F.asc_nulls_last(f"`{c}`") for c in order])
     return dealt.withColumn(name, base + F.row_number().over(w)).drop("_part")

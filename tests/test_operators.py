@@ -98,6 +98,20 @@ def test_places_and_distances_of_a_whole_order(places):
     assert checks.consecutive_distance(places.where("false"), ["id"]).first()[0] is None
 
 
+def test_ranges_of_a_whole_order_are_told_apart_by_all_of_it(places, spark):
+    """Texts that begin alike, and few values before the next column, are still numbered side by side."""
+    alike = places.select(F.concat(F.lit("beginning"), F.col("kind"), F.col("id").cast("string")).alias("w"), (F.col("id") % 2).alias("v"), "id", F.when(F.col("id") % 9 > 0, F.col("id") / 7).alias("d"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for order in (["w", "id"], ["v", "id"], ["d", "v", "id"]):
+            done = sort.place(alike, order, ranges=8)
+            assert done.select(F.spark_partition_id().alias("p")).distinct().count() > 2, order
+            assert [r["id"] for r in done.orderBy("place").collect()] == [r["id"] for r in alike.orderBy(*[F.asc_nulls_last(c) for c in order]).collect()]
+        assert sort.place(alike.where("false"), ["w", "id"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_sort_hilbert_brings_neighbours_together(places):
     done = sort.sort_hilbert(places).withColumn("place", F.monotonically_increasing_id())
     assert checks.check_spatial_order(done, ["place"]).details["ratio"] < 0.5 < checks.check_spatial_order(places, ["id"]).details["ratio"]
