@@ -105,13 +105,20 @@ def test_ranges_of_a_whole_order_are_told_apart_by_all_of_it(places, spark):
     try:
         for order in (["w", "id"], ["v", "id"], ["d", "v", "id"]):
             done = sort.place(alike, order, ranges=8)
-            assert done.select(F.spark_partition_id().alias("p")).distinct().count() > 2, order
+            assert len({r["p"] for r in done.select("place", F.spark_partition_id().alias("p")).collect()}) > 2, order
             assert [r["id"] for r in done.orderBy("place").collect()] == [r["id"] for r in alike.orderBy(*[F.asc_nulls_last(c) for c in order]).collect()]
         assert sort.place(alike.where("false"), ["w", "id"]).count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_places_along_the_curve(places):
+    """The index is many projections deep; neither its levels nor the bounds of ranges may be repeated in the plan."""
+    done = sort.place(sort.add_hilbert(places), ["hilbert", "id"])
+    assert len(done._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert [r["id"] for r in done.orderBy("place").collect()] == [r["id"] for r in sort.add_hilbert(places).orderBy("hilbert", "id").collect()]
+
+
 def test_sort_hilbert_brings_neighbours_together(places):
     done = sort.sort_hilbert(places).withColumn("place", F.monotonically_increasing_id())
     assert checks.check_spatial_order(done, ["place"]).details["ratio"] < 0.5 < checks.check_spatial_order(places, ["id"]).details["ratio"]
