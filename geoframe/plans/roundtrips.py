@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +12,12 @@ from ..frame import GeoFrame
 from ..functions import expr, udf
 from ..operators import aggregate, columns, join
 from ..sources import readers, sinks
+from ..sources.parts import scratch
 from ..streaming import adapter
 from . import checks, fixes, inspect, metadata
 from .queries import JOIN, L_SHAPE, POINTS, RECTANGLES, WHOLE, _kdtree_sql, _quadkey_sql, flat, nations, points, query, table
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset and all runs on one machine, in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='geoframe-')}"
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def local(path: str) -> str:
     """A path for formats of one local file."""
     return re.sub("^file:/+", "/", path)
@@ -269,12 +256,11 @@ def reference_system_of_written_files(spark, sf):
 
 @query(f"WITH {POINTS} SELECT c_custkey, lon, lat FROM points")
 def arrow_stream_round_trip(spark, sf):
-    import io
-
-    pipe = io.BytesIO()
-    GeoFrame(features(spark, sf)).write_ipc(pipe)
-    pipe.seek(0)
-    return _xy(GeoFrame.read_ipc(spark, pipe).df, "c_custkey")
+    path = local(scratch(spark, "pipe"))
+    with open(path, "wb") as pipe:
+        GeoFrame(features(spark, sf)).write_ipc(pipe)
+    with open(path, "rb") as pipe:
+        return _xy(GeoFrame.read_ipc(spark, pipe).df, "c_custkey")
 
 
 @query(f"WITH {POINTS}, c AS (SELECT c_custkey, lon, lat FROM points WHERE lon BETWEEN -90 AND 90 AND lat BETWEEN -60 AND 60) SELECT c_custkey, round(6378137.0 * radians(lon), 4) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 4) AS y, quadkey FROM c JOIN (SELECT c_custkey, left(quadkey, 2) AS quadkey FROM ({_quadkey_sql(13)})) USING (c_custkey)")

@@ -4,6 +4,7 @@ import io
 import json
 import os
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from geoframe import __main__ as cli
@@ -11,7 +12,7 @@ from geoframe.frame import GeoFrame
 from geoframe.functions import native, udf
 from geoframe.operators import aggregate
 from geoframe.plans import checks, fixes, metadata
-from geoframe.sources import readers, sinks
+from geoframe.sources import ipc, parts, readers, sinks
 from pyspark.sql import functions as F
 
 
@@ -147,3 +148,38 @@ def test_dry_run(places, spark, tmp_path, capsys):
     assert "Physical Plan" in capsys.readouterr().out and not (tmp_path / "q").exists()
     assert cli.main(["convert", str(tmp_path / "p"), str(tmp_path / "q"), "--hilbert", "--bbox"]) == 0
     assert all("bbox" in pq.read_schema(p).names for p, _ in readers.files_of(spark, str(tmp_path / "q")))
+
+
+@pytest.fixture
+def no_rows_to_the_driver(monkeypatch):
+    """Rows neither come to the driver from tasks nor go out from it."""
+    from pyspark.sql import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("rows pass the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refuse)
+    monkeypatch.setattr(parts, "PART", 2_000)
+
+
+def test_arrow_streams_are_encoded_by_tasks(spark, no_rows_to_the_driver):
+    df = spark.range(0, 900, 1, 3).select("id", F.array(F.col("id"), F.lit(None)).alias("a"), F.when(F.col("id") % 3 > 0, F.struct(F.lit("é").alias("s"))).alias("b"), F.timestamp_seconds("id").alias("t"))
+    for rows in (df, df.where("false")):
+        pipe = io.BytesIO()
+        n = ipc.write(rows, pipe, geometry=None)
+        pipe.seek(0)
+        table = pa.ipc.open_stream(io.BytesIO(pipe.getvalue())).read_all()
+        again, _ = ipc.read(spark, pipe)
+        assert n == rows.count() == table.num_rows and again.dtypes == df.dtypes and again.collect() == rows.collect()
+        assert table.column("id").to_pylist() == [r[0] for r in rows.select("id").collect()]
+
+
+def test_collections_are_written_by_tasks(spark, tmp_path, no_rows_to_the_driver):
+    df = spark.range(0, 400, 1, 3).select("id", F.lit('é",\n{').alias("s"), udf.point(F.col("id") / 10, F.lit(1.0)).alias("geometry"))
+    for n in (400, 0):
+        path = str(tmp_path / f"{n}.geojson")
+        sinks.write_geojson(df.where(F.col("id") < n), path)
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        found = json.loads(text)["features"]
+        assert [x["properties"] for x in found] == [{"id": i, "s": 'é",\n{'} for i in range(n)] and text.count("\n") == n + 2
