@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -20,6 +20,7 @@ from ..functions import expr, native, udf, wkb
 from ..operators.aggregate import analyze_partitions, partition_key
 from ..operators.extract import bbox_column, geometry_column
 from ..plans import metadata
+from . import parts
 
 #: Between the values of a nested key; no value of an admin level holds it.
 BETWEEN = "\x1f"
@@ -304,17 +305,31 @@ def geojson_features(df: DataFrame, *, precision: int = 7, write_bbox: bool = Fa
 
 
 def write_geojson(df: DataFrame, path: str, *, sequence: bool = False, overwrite: bool = False, **options) -> None:
-    """A folder of newline-delimited features (sequence), or one local file with a feature collection, streamed row by row."""
+    """A folder of newline-delimited features (sequence), or one local file with a feature collection, of parts that tasks write."""
     rows = geojson_features(df, **options)
     if sequence:
         with _beside(path, overwrite) as staged:
             rows.write.text(staged)
         return
-    with _beside(path, overwrite) as staged, open(staged, "w", encoding="utf-8") as f:
-        f.write('{"type":"FeatureCollection","features":[')
-        for i, r in enumerate(rows.toLocalIterator()):
-            f.write(("," if i else "") + "\n" + r["value"])
-        f.write("\n]}\n")
+
+    def encode(batches: Iterator[pa.RecordBatch], new: Callable[[], str]) -> Iterator[tuple]:
+        held: list[bytes] = []
+        for batch in batches:
+            held += [b"\n" + v.encode() for v in batch.column(0).to_pylist()]
+            if sum(map(len, held)) >= parts.PART:
+                parts.put(at := new(), b",".join(held))
+                yield (at,)
+                held = []
+        if held:
+            parts.put(at := new(), b",".join(held))
+            yield (at,)
+
+    with _beside(path, overwrite) as staged, parts.written(rows, "path string", encode) as found, open(staged, "wb") as f:
+        f.write(b'{"type":"FeatureCollection","features":[')
+        for i, (part,) in enumerate(found):
+            f.write(b"," if i else b"")
+            f.writelines(parts.pieces(part))
+        f.write(b"\n]}\n")
 
 
 def write_geopackage(df: DataFrame, path: str, *, layer: str = "features", srs_id: int = 4326, overwrite: bool = False) -> None:
