@@ -15,10 +15,12 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import native, udf
 from ..plans.metadata import open_footer
-from . import geojson
+from . import geojson, parts
 
 #: Column names that hold geometries or coordinates (fixed values, in order of preference).
 WKT_NAMES = ("wkt", "geometry", "geom", "the_geom", "shape")
+#: Rows of a GeoPackage that a task reads.
+GPKG_ROWS = 100_000
 LAT_NAMES, LON_NAMES = ("lat", "latitude", "y"), ("lon", "lng", "long", "longitude", "x")
 
 
@@ -163,20 +165,48 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """One layer of a local GeoPackage, read on the driver (the format is one SQLite file)."""
+    """One layer of a local GeoPackage, read by tasks in ranges of row ids; the driver sees their bounds and each column's first value."""
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    layers = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns ORDER BY table_name").fetchall()
-    table, geom = next((x for x in layers if layer in (None, x[0])), (None, None))
-    if table is None:
-        raise ValueError(f"no layer {layer}; there are {', '.join(x[0] for x in layers)}")
-    cursor = db.execute('SELECT * FROM "' + table.replace('"', '""') + '"')
-    names = ["geometry" if d[0] == geom else d[0] for d in cursor.description]
-    at = names.index("geometry")
-    rows = [[strip_gpkg_header(v) if i == at and v is not None else v for i, v in enumerate(r)] for r in cursor]
-    db.close()
-    kinds = {int: "long", float: "double", bytes: "binary"}
-    schema = ", ".join(f"`{n}` {'binary' if i == at else next((kinds.get(type(r[i]), 'string') for r in rows if r[i] is not None), 'string')}" for i, n in enumerate(names))
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    try:
+        layers = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns ORDER BY table_name").fetchall()
+        table, geom = next((x for x in layers if layer in (None, x[0])), (None, None))
+        if table is None:
+            raise ValueError(f"no layer {layer}; there are {', '.join(x[0] for x in layers)}")
+        own = [d[0] for d in db.execute(f"SELECT * FROM {quoted(table)} LIMIT 0").description]
+        names = ["geometry" if c == geom else c for c in own]
+        at = names.index("geometry")
+        kinds = {int: "long", float: "double", bytes: "binary"}
+        first = [db.execute(f"SELECT {quoted(c)} FROM {quoted(table)} WHERE {quoted(c)} IS NOT NULL LIMIT 1").fetchone() for c in own]
+        types = ["binary" if i == at else kinds.get(type(v[0]), "string") if v else "string" for i, v in enumerate(first)]
+        is_table = db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ? COLLATE NOCASE", (table,)).fetchone()
+        starts = [r[0] for r in db.execute(f"SELECT id FROM (SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM {quoted(table)}) WHERE n % {GPKG_ROWS} = 1 OR {GPKG_ROWS} = 1 ORDER BY id")] if is_table else []
+    finally:
+        db.close()
+    # a view has no row ids: it is one range
+    ranges = [(f" WHERE rowid >= {a}" + (f" AND rowid < {b}" if b is not None else "") + " ORDER BY rowid") for a, b in zip(starts, [*starts[1:], None])] if is_table else [""]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, types))
+    arrow = pa.schema([pa.field(n, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in zip(names, types)])
+
+    def whole(source: str, to: str) -> None:
+        a, b = sqlite3.connect(f"file:{source}?mode=ro", uri=True), sqlite3.connect(to)
+        a.backup(b)
+        a.close()
+        b.close()
+
+    (seen,) = parts.visible(spark, [path], whole)
+
+    def read(which: str):
+        db = sqlite3.connect(f"file:{seen}?mode=ro", uri=True)
+        cursor = db.execute(f"SELECT * FROM {quoted(table)}{which}")
+        while rows := cursor.fetchmany(10_000):
+            columns = [list(c) for c in zip(*rows)]
+            columns[at] = [None if v is None else strip_gpkg_header(v) for v in columns[at]]
+            columns = [[v if v is None or isinstance(v, str) else str(v) for v in c] if t == "string" else c for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        db.close()
+
+    return parts.over(spark, ranges, schema, read)
 
 
 def strip_gpkg_header(blob: bytes) -> bytes:

@@ -333,14 +333,16 @@ def write_geojson(df: DataFrame, path: str, *, sequence: bool = False, overwrite
 
 
 def write_geopackage(df: DataFrame, path: str, *, layer: str = "features", srs_id: int = 4326, overwrite: bool = False) -> None:
-    """One local file, streamed row by row; structs, lists and maps are left out."""
+    """One local file, put together from databases that tasks fill; structs, lists and maps are left out."""
     with _beside(path, overwrite) as staged:
         _fill_geopackage(df, staged, layer, srs_id)
 
 
 def _fill_geopackage(df: DataFrame, path: str, layer: str, srs_id: int) -> None:
+    import os
     import sqlite3
     import struct as st
+    import tempfile
 
     geom = geometry_column(df)
     plain = [f for f in df.schema.fields if f.name != geom and f.dataType.typeName() not in ("struct", "array", "map")]
@@ -359,9 +361,38 @@ def _fill_geopackage(df: DataFrame, path: str, layer: str, srs_id: int) -> None:
     db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, ?, 'GEOMETRY', ?, 2, 2)", (layer, geom, srs_id))
     head = b"GP\x00\x01" + st.pack("<i", srs_id)
     names = [geom, *[f.name for f in plain]]
-    sql = f"INSERT INTO {q(layer)} ({', '.join(map(q, names))}) VALUES ({', '.join('?' * len(names))})"
     as_text = {f.name for f in plain if f.dataType.typeName() not in kinds and f.dataType.typeName() != "string" or f.dataType.typeName() == "date"}
-    for r in df.select(*[F.col(f"`{n}`").cast("string") if n in as_text else F.col(f"`{n}`") for n in names]).toLocalIterator():
-        db.execute(sql, [head + bytes(r[0]) if r[0] is not None else None, *[bytes(v) if isinstance(v, bytearray) else v for v in r[1:]]])
+    rows = df.select(*[F.col(f"`{n}`").cast("string").alias(n) if n in as_text else F.col(f"`{n}`") for n in names])
+    columns = ", ".join(f"c{i}" for i in range(len(names)))
+
+    def encode(batches: Iterator[pa.RecordBatch], new: Callable[[], str]) -> Iterator[tuple]:
+        """Databases of a table t each, filled in the task's own folder and then passed on."""
+        batches = iter(batches)
+        while (batch := next(batches, None)) is not None:
+            with tempfile.TemporaryDirectory() as own:
+                part, size = sqlite3.connect(f"{own}/t"), 0
+                part.execute(f"CREATE TABLE t ({columns})")
+                while batch is not None:
+                    values = [c.to_pylist() for c in batch.columns]
+                    values[0] = [None if v is None else head + v for v in values[0]]
+                    part.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(names))})", zip(*values))
+                    size += batch.nbytes
+                    batch = next(batches, None) if size < parts.PART else None
+                part.commit()
+                part.close()
+                with open(f"{own}/t", "rb") as f:
+                    parts.put(at := new(), f.read())
+            yield (at,)
+
+    with parts.written(rows, "path string", encode) as found, tempfile.TemporaryDirectory() as own:
+        for at, in found:
+            with open(f"{own}/t", "wb") as f:
+                f.writelines(parts.pieces(at))
+            db.commit()
+            db.execute("ATTACH ? AS part", (f"{own}/t",))
+            db.execute(f"INSERT INTO {q(layer)} ({', '.join(map(q, names))}) SELECT {columns} FROM part.t ORDER BY rowid")
+            db.commit()
+            db.execute("DETACH part")
+            os.remove(f"{own}/t")
     db.commit()
     db.close()
