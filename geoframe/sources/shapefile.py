@@ -1,21 +1,27 @@
-"""Shapefiles, read and written on the driver, row by row (the format is one set of local files)."""
+"""Shapefiles, one set of local files: records are coded and decoded by tasks, the driver joins their parts."""
 
 from __future__ import annotations
 
 import datetime
+import mmap
 import os
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf, wkb
 from ..operators.extract import geometry_column
 from ..plans.metadata import is_geographic
+from . import parts
 
 POINT, LINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
+#: Records that a task reads at once.
+ROWS = 20_000
 #: Shape type by geometry kind, and the system that is written (fixed values).
 SHAPE = {1: POINT, 2: LINE, 5: LINE, 3: POLYGON, 6: POLYGON, 4: MULTIPOINT}
 WGS84 = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
@@ -113,8 +119,39 @@ def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped
     fields = [_dbf_field(f.name, f.dataType.typeName()) for f in plain]
     if len({f[0] for f in fields}) < len(fields):
         raise ValueError("names must differ within 10 bytes")
+    chosen = df.select(*[F.col(f"`{c}`") for c in (geom, *[f.name for f in plain])])
+
+    def code(batches: Iterator[pa.RecordBatch], new: Callable[[], str]) -> Iterator[tuple]:
+        """Records numbered from 1 and their index from 0 within a part, attributes; path, rows, bytes of records, envelope."""
+        shp, shx, dbf, box, at, size = [], [], [], None, 0, 0
+
+        def close() -> tuple:
+            path = new()
+            for suffix, held in (("shp", shp), ("shx", shx), ("dbf", dbf)):
+                parts.put(f"{path}.{suffix}", b"".join(held))
+            return path, len(shp), 2 * at, *(map(float, box) if box else (None,) * 4)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                g = wkb.parse(row[0]) if row[0] is not None else None
+                content = encode(g)
+                shp.append(struct.pack(">ii", len(shp) + 1, len(content) // 2) + content)
+                shx.append(struct.pack(">ii", at, len(content) // 2))
+                at += 4 + len(content) // 2
+                e = wkb.envelope(g) if g else None
+                if e:
+                    box = e if box is None else (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
+                dbf.append(b" " + b"".join(_dbf_value(v, f[1], f[2], f[3]) for v, f in zip(row[1:], fields)))
+                size += len(shp[-1]) + len(dbf[-1])
+                if size >= parts.PART:
+                    yield close()
+                    shp, shx, dbf, box, at, size = [], [], [], None, 0, 0
+        if shp:
+            yield close()
+
     box, n, at = None, 0, 50
-    with open(f"{stem}.shp", "wb") as shp, open(f"{stem}.shx", "wb") as shx, open(f"{stem}.dbf", "wb") as dbf:
+    told = "path string, n long, size long, xmin double, ymin double, xmax double, ymax double"
+    with parts.written(chosen, told, code) as found, open(f"{stem}.shp", "wb") as shp, open(f"{stem}.shx", "wb") as shx, open(f"{stem}.dbf", "wb") as dbf:
         shp.write(b"\0" * 100)
         shx.write(b"\0" * 100)
         head = 33 + 32 * len(fields)
@@ -122,17 +159,18 @@ def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped
         for name, kind, width, decimals in fields:
             dbf.write(name.ljust(11, b"\0") + kind.encode() + b"\0" * 4 + bytes([width, decimals]) + b"\0" * 14)
         dbf.write(b"\r")
-        for row in df.select(*[F.col(f"`{c}`") for c in (geom, *[f.name for f in plain])]).toLocalIterator():
-            g = wkb.parse(bytes(row[0])) if row[0] is not None else None
-            content = encode(g)
-            n += 1
-            shp.write(struct.pack(">ii", n, len(content) // 2) + content)
-            shx.write(struct.pack(">ii", at, len(content) // 2))
-            at += 4 + len(content) // 2
-            e = wkb.envelope(g) if g else None
-            if e:
-                box = e if box is None else (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
-            dbf.write(b" " + b"".join(_dbf_value(v, f[1], f[2], f[3]) for v, f in zip(row[1:], fields)))
+        for path_, rows, size, *e in found:
+            # a part's records and places become those of the file
+            records, index = np.frombuffer(parts.whole(f"{path_}.shp"), np.uint8).copy(), np.frombuffer(parts.whole(f"{path_}.shx"), ">i4").reshape(-1, 2).astype(np.int64)
+            records[(2 * index[:, :1] + np.arange(4))] = np.arange(n + 1, n + rows + 1).astype(">i4").view(np.uint8).reshape(-1, 4)
+            shp.write(records.tobytes())
+            if at + size // 2 >= 1 << 31:
+                raise ValueError("a shapefile holds at most 4 GB of records")
+            shx.write((index + [at, 0]).astype(">i4").tobytes())
+            dbf.writelines(parts.pieces(f"{path_}.dbf"))
+            n, at = n + rows, at + size // 2
+            if e[0] is not None:
+                box = tuple(e) if box is None else (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
         dbf.write(b"\x1a")
         for f, words in ((shp, at), (shx, 50 + 4 * n)):
             f.seek(0)
@@ -151,23 +189,28 @@ def write_shapefile(df: DataFrame, path: str, *, overwrite: bool = False, zipped
 
 
 def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Attributes and geometry of a shapefile; numbers without decimals are whole."""
+    """Attributes and geometry of a shapefile, read by tasks in ranges of records; numbers without decimals are whole.
+
+    The driver walks the heads of the records, for where each range begins.
+    """
     stem = path.removesuffix(".shp")
-    with open(f"{stem}.shp", "rb") as f:
-        data = f.read()
-    shapes, at = [], 100
-    while at + 8 <= len(data):
-        size = 2 * struct.unpack_from(">i", data, at + 4)[0]
-        g = decode(data[at + 8 : at + 8 + size])
-        shapes.append(wkb.encode(g) if g else None)
-        at += 8 + size
     with open(f"{stem}.dbf", "rb") as f:
-        table = f.read()
-    n, head, width = struct.unpack_from("<IHH", table, 4)
-    fields, at = [], 32
+        n, head, width = struct.unpack_from("<IHH", f.read(32), 4)
+        table = f.read(head - 32)
+    fields, at = [], 0
     while table[at] != 0x0D:
         fields.append((table[at : at + 11].split(b"\0")[0].decode(encoding, "replace"), chr(table[at + 11]), table[at + 16], table[at + 17]))
         at += 32
+    ranges, i, at = [], 0, 100
+    with open(f"{stem}.shp", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        while i < n and at + 8 <= len(data):
+            if i % ROWS == 0:
+                ranges.append([i, at])
+            at += 8 + 2 * struct.unpack_from(">i", data, at + 4)[0]
+            i += 1
+    if i < n:
+        raise ValueError(f"{path}: {n} rows of attributes, {i} shapes")
+    ranges = [(first, start, *after) for (first, start), after in zip(ranges, [*ranges[1:], (n, at)])]
 
     def value(raw: bytes, kind: str, decimals: int):
         text = raw.decode(encoding, "replace").strip()
@@ -179,13 +222,31 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
             return datetime.datetime.strptime(text, "%Y%m%d").date()
         return int(text) if kind == "N" and not decimals else float(text) if kind in "NF" else text
 
-    rows = []
-    for i in range(n):
-        at, row = head + i * width + 1, []
-        for _, kind, size, decimals in fields:
-            row.append(value(table[at : at + size], kind, decimals))
-            at += size
-        rows.append((*row, shapes[i]))
     types = {"L": "boolean", "D": "date", "C": "string", "F": "double"}
-    schema = ", ".join([*(f"`{name}` {types.get(kind) or ('double' if decimals else 'long')}" for name, kind, _, decimals in fields), "geometry binary"])
-    return spark.createDataFrame(rows, schema)
+    kinds = [types.get(kind) or ("double" if decimals else "long") for _, kind, _, decimals in fields]
+    schema = ", ".join([*(f"`{name}` {t}" for (name, *_), t in zip(fields, kinds)), "geometry binary"])
+    arrow = {"boolean": pa.bool_(), "date": pa.date32(), "string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    kept = pa.schema([*(pa.field(name, arrow[t]) for (name, *_), t in zip(fields, kinds)), pa.field("geometry", pa.binary())])
+    shp, dbf = parts.visible(spark, [f"{stem}.shp", f"{stem}.dbf"])
+
+    def read(which: tuple[int, int, int, int]) -> Iterator[pa.RecordBatch]:
+        first, start, last, stop = which
+        with open(shp, "rb") as f:
+            f.seek(start)
+            data = f.read(stop - start)
+        with open(dbf, "rb") as f:
+            f.seek(head + first * width)
+            table = f.read((last - first) * width)
+        shapes, at = [], 0
+        for _ in range(last - first):
+            size = 2 * struct.unpack_from(">i", data, at + 4)[0]
+            g = decode(data[at + 8 : at + 8 + size])
+            shapes.append(wkb.encode(g) if g else None)
+            at += 8 + size
+        columns, place = [], 1
+        for _, kind, size, decimals in fields:
+            columns.append([value(table[x : x + size], kind, decimals) for x in range(place, place + (last - first) * width, width)])
+            place += size
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, shapes], kept)], schema=kept)
+
+    return parts.over(spark, ranges, schema, read)

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import struct
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,7 +13,7 @@ from geoframe.frame import GeoFrame
 from geoframe.functions import native, udf
 from geoframe.operators import aggregate
 from geoframe.plans import checks, fixes, metadata
-from geoframe.sources import ipc, parts, readers, sinks
+from geoframe.sources import ipc, parts, readers, shapefile, sinks
 from pyspark.sql import functions as F
 
 
@@ -183,3 +184,31 @@ def test_collections_are_written_by_tasks(spark, tmp_path, no_rows_to_the_driver
             text = f.read()
         found = json.loads(text)["features"]
         assert [x["properties"] for x in found] == [{"id": i, "s": 'é",\n{'} for i in range(n)] and text.count("\n") == n + 2
+
+
+def test_geopackages_are_filled_and_read_by_tasks(spark, tmp_path, no_rows_to_the_driver, monkeypatch):
+    monkeypatch.setattr(readers, "GPKG_ROWS", 150)
+    df = spark.range(0, 400, 1, 3).select("id", F.lit("é").alias("s"), F.when(F.col("id") % 3 > 0, F.col("id") / 4).alias("d"), F.when(F.col("id") % 7 > 0, udf.point(F.col("id") / 10, F.lit(1.0))).alias("geometry"))
+    for n in (400, 0):
+        path = str(tmp_path / f"{n}.gpkg")
+        sinks.write_geopackage(df.where(F.col("id") < n), path)
+        again = readers.read_geopackage(spark, path)
+        assert again.rdd.getNumPartitions() == 3 or not n
+        got = [(r["fid"], r["id"] and int(r["id"]), r["s"], r["d"], r["geometry"]) for r in again.collect()]
+        assert got == [(i + 1, *r) for i, r in enumerate(df.where(F.col("id") < n).collect())]
+
+
+def test_shapefiles_are_coded_by_tasks(spark, tmp_path, no_rows_to_the_driver, monkeypatch):
+    monkeypatch.setattr(shapefile, "ROWS", 150)
+    df = spark.range(0, 400, 1, 3).select("id", F.lit("é").alias("s"), F.when(F.col("id") % 3 > 0, F.col("id") / 4).alias("d"), F.when(F.col("id") % 7 > 0, udf.point(F.col("id") / 10, F.lit(1.0))).alias("geometry"))
+    for n in (400, 0):
+        path = str(tmp_path / f"{n}.shp")
+        shapefile.write_shapefile(df.where(F.col("id") < n), path)
+        again = shapefile.read_shapefile(spark, path)
+        assert again.rdd.getNumPartitions() == 3 or not n
+        assert again.collect() == df.where(F.col("id") < n).collect()
+        with open(path, "rb") as f, open(path[:-4] + ".shx", "rb") as g:
+            shp, shx = f.read(), g.read()
+        places = [struct.unpack_from(">ii", shx, a) for a in range(100, len(shx), 8)]
+        assert [struct.unpack_from(">ii", shp, 2 * a) for a, _ in places] == [(i + 1, size) for i, (_, size) in enumerate(places)]
+        assert len(places) == n and 2 * struct.unpack_from(">i", shp, 24)[0] == len(shp)
